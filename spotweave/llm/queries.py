@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import bpe, exact_dedup, mixing, secrets, token_counts, topk, toxicity, warc
+from spotweave.llm import bpe, exact_dedup, jaccard_join, mixing, secrets, token_counts, topk, toxicity, warc
 from spotweave.llm.common import narrow_batches
 from spotweave.session import prepare, table
 
@@ -25,6 +25,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: 4-word shingles, 85 percent."""
+    return jaccard_join.jaccard_components(table(prepare(spark), sf_dir, "documents"), 85, 4)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     return mixing.mix_sources(table(prepare(spark), sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -69,7 +74,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(of_base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op4_mixing, op5_topk, op6_token_counts, op8_toxicity, op9_exact_dedup, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_jaccard, op4_mixing, op5_topk, op6_token_counts, op8_toxicity, op9_exact_dedup, op10_secrets)}
 
 ORACLE_SQL = {
     "op1_warc": """
@@ -79,6 +84,18 @@ ORACLE_SQL = {
         select page_id, payload_bytes, payload_digest,
                case when head > page_id then 'revisit' else 'response' end as record_type,
                case when head > page_id then head end as refers_to from h""",
+    "op3_jaccard": r"""
+        with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+                     else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from d),
+        n as (select doc_id, len(g)::bigint as n_shingles from s),
+        t as (select doc_id, len(g) as c, unnest(g) as g from s),
+        k as (select x.doc_id as a, y.doc_id as b, any_value(x.c + y.c) as both_sizes, count(*) as shared from t x join t y on x.g = y.g and x.doc_id < y.doc_id
+              and 100 * x.c >= 85 * y.c and 100 * y.c >= 85 * x.c group by x.doc_id, y.doc_id),
+        u as (select a, b from k where 100 * shared >= 85 * (both_sizes - shared)),
+        l as (select a, b from u union all select b, a from u),
+        r(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from r join l on r.b = l.a)
+        select n.doc_id, any_value(n_shingles) as n_shingles, min(r.b) as component_id from n join r on n.doc_id = r.a group by n.doc_id""",
     "op5_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
                    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
