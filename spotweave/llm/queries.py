@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import bpe, exact_dedup, jaccard_join, mixing, secrets, token_counts, topk, toxicity, warc
+from spotweave.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, secrets, token_counts, topk, toxicity, warc
 from spotweave.llm.common import narrow_batches
 from spotweave.session import prepare, table
 
@@ -47,6 +48,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (line numbers from 0, comma-joined) of every document."""
+    report = line_dedup.line_report(table(prepare(spark), sf_dir, "documents"))
+    return report.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
@@ -74,7 +81,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(of_base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_jaccard, op4_mixing, op5_topk, op6_token_counts, op8_toxicity, op9_exact_dedup, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_jaccard, op4_mixing, op5_topk, op6_token_counts, op7_line_dedup, op8_toxicity, op9_exact_dedup, op10_secrets)} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL = {
     "op1_warc": """
