@@ -39,11 +39,22 @@ def line_id(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def similar(a: str, b: str) -> bool:
-    """Exact: whether the lines' shingle sets have the similarity."""
-    x, y = ({s[i : i + CHARS] for i in range(max(1, len(s) - CHARS + 1))} for s in (a, b))
-    shared = len(x & y)
-    return shared >= SIMILARITY * (len(x) + len(y) - shared) - 1e-12
+def shingles(line: str) -> set[str]:
+    return {line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1))}
+
+
+def similar(a: str, b: set[str]) -> bool:
+    """Exact: whether the shingles of a line and those of another have the similarity; a pair that lacks too many of the
+    first shingles already is left at once."""
+    x: set[str] = set()
+    last = max(1, len(a) - CHARS + 1)
+    for start in range(0, last, 48):
+        x.update([a[i : i + CHARS] for i in range(start, min(start + 48, last))])
+        # whatever follows, x & b cannot reach SIMILARITY of the union, which holds b and what x has beyond it
+        if len(b) < SIMILARITY * (len(b) + len(x - b)) - 1e-12:
+            return False
+    shared = len(x & b)
+    return shared >= SIMILARITY * (len(x) + len(b) - shared) - 1e-12
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -192,8 +203,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def check(batches):
+        held, of = None, set()
         for t in batches:
-            yield t.select(["a", "b"]).filter(pa.array([similar(x.as_py(), y.as_py()) for x, y in zip(t.column(2), t.column(3), strict=True)], pa.bool_()))
+            keep = []
+            for b, x, y in zip(t.column(1).to_pylist(), t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
+                if b != held:  # the join brings a line's pairs together
+                    held, of = b, shingles(y)
+                keep.append(similar(x, of))
+            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     roots = written(components(both.mapInArrow(check, "a bigint, b bigint")))
     lines = occurrences.select("id", "line_no", "line").join(small(roots.toDF("line", "root")), "line", "left").select("id", "line_no", F.coalesce("root", "line").alias("root"))
