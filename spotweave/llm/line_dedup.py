@@ -29,6 +29,8 @@ from spotweave.llm.jaccard_join import Bits
 
 CHARS, SIMILARITY, BANDS, ROWS = 8, 0.8, 10, 4
 ALL_PAIRS, LEADERS = 16, 3
+#: Characters whose shingles are hashed at once: the arrays stay in the processor's cache.
+SLICE_CHARS = 1 << 16
 
 
 def normal(line: str) -> str:
@@ -67,15 +69,14 @@ def signatures(lines: list[str]) -> np.ndarray:
     counts = np.maximum(1, lengths - CHARS + 1)
     row = np.repeat(np.arange(len(lines)), counts)
     at = np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-    padded = np.concatenate([text, np.zeros(CHARS, np.uint64)])
-    k = keys(CHARS + 1)
+    k = keys(4)
     with np.errstate(over="ignore"):
-        value = np.zeros(len(at), np.uint64)
-        rolled = sum(((padded[j : j + len(text)] + np.uint64(1)) * k[j] for j in range(CHARS)), np.zeros(1, np.uint64))
+        rolled = np.concatenate([text + np.uint64(1), np.zeros(CHARS, np.uint64)])
+        for j, width in enumerate((1, 2, 4)):  # polynomial hashes of two, four, eight characters
+            rolled = rolled[:-width] * k[j] + rolled[width:]
         value = rolled[at]
         for r in np.flatnonzero(lengths < CHARS).tolist():  # one shingle: the line
-            part = text[starts[r] : ends[r]]
-            value[int(np.searchsorted(row, r))] = ((part + np.uint64(1)) * k[: len(part)]).sum() + k[CHARS] * np.uint64(len(part) + 1)
+            value[int(np.searchsorted(row, r))] = np.uint64(line_id(lines[r]) & 0x7FFFFFFFFFFFFFFF)
         value = mix(value)
         out = np.full(len(lines) * bins, np.iinfo(np.uint64).max, np.uint64)
         np.minimum.at(out, row * bins + ((value >> np.uint64(32)) % np.uint64(bins)).astype(np.int64), value)
@@ -127,7 +128,7 @@ def line_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         texts.append(None if h in seen else line)
                         size += len(line) if h not in seen else 0
                         seen.add(h)
-                if size > 1 << 20:
+                if size > SLICE_CHARS:
                     yield emit()
                     ids, numbers, hashes, texts, size = [], [], [], [], 0
             if ids:
