@@ -48,13 +48,13 @@ def shingles(line: str) -> set[str]:
 def similar(a: str, b: set[str]) -> bool:
     """Exact: whether the shingles of a line and those of another have the similarity; a pair that lacks too many of the
     first shingles already is left at once."""
-    x: set[str] = set()
     last = max(1, len(a) - CHARS + 1)
-    for start in range(0, last, 48):
-        x.update([a[i : i + CHARS] for i in range(start, min(start + 48, last))])
-        # whatever follows, x & b cannot reach SIMILARITY of the union, which holds b and what x has beyond it
-        if len(b) < SIMILARITY * (len(b) + len(x - b)) - 1e-12:
+    if last > 64:
+        lacking = len({a[i : i + CHARS] for i in range(64)} - b)
+        # the union holds b and what the line has beyond it, the intersection at most b
+        if len(b) < SIMILARITY * (len(b) + lacking) - 1e-12:
             return False
+    x = shingles(a)
     shared = len(x & b)
     return shared >= SIMILARITY * (len(x) + len(b) - shared) - 1e-12
 
