@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ GPT2_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 
 MEMO_WORDS = 300_000  # a worker's memory of words; emptied when full
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
 
 def byte_letters() -> list[str]:
     """The printable letter that byte-level BPE gives each byte: itself where printable, else 256 upwards."""
@@ -250,6 +253,19 @@ def count_tokens(text: str | None, path: str) -> int:
     return sum(1 if special is not None else sum(map(counts.__getitem__, words)) for special, words in bpe.stretches(text or ""))
 
 
+def count_batch(texts: list[str], path: str) -> list[int]:
+    """count_tokens of each text; words met for the first time go to the library together where it splits and normalises
+    a word alone as within its text, which holds for words of the Latin blocks."""
+    bpe, counts, _ = loaded(path)
+    parts = [list(bpe.stretches(t)) for t in texts]
+    if bpe.latin is not None:
+        new = set().union(*(words for stretches in parts for _, words in stretches)).difference(counts)
+        new = [w for w in new if len(w) <= 64 and not bpe.beyond_latin.search(w)]
+        counts.update((w, len(e)) for w, e in zip(new, bpe.library.encode_batch_fast(new, add_special_tokens=False), strict=True))
+    get = counts.__getitem__
+    return [sum(1 if special is not None else sum(map(get, words)) for special, words in stretches) for stretches in parts]
+
+
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every whole text."""
     kind = docs.schema[id_col].dataType.simpleString()

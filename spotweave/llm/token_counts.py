@@ -1,8 +1,8 @@
 """Operator 6: token counts through a digest cache.
 
 Normalised content and tokenizer version give a digest; stored counts are joined by it, only distinct misses are
-encoded, and their counts are appended to the cache.  Digests travel, texts only once (the chosen row of each
-missing digest); a digest that very many rows share is one row after the partial aggregation, and its join back is
+encoded, and their counts are appended to the cache.  Digests are taken where texts are read; they travel, texts only
+once (the chosen row of each missing digest); a digest that very many rows share is one row after the partial aggregation, and its join back is
 split by adaptive execution.
 
 Defined results: null counts as empty (0 bytes, 0 tokens); repeated rows and equal texts get equal counts; an empty
@@ -15,13 +15,15 @@ import hashlib
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotweave.llm import bpe
-from spotweave.llm.common import narrow_batches, shared_dir
+from spotweave.llm.common import narrow_batches, shared_dir, written
 
 SCHEMA = "digest binary, n_tokens bigint"
+#: Texts whose new words are encoded together.
+COUNTED = 64
 
 
 @lru_cache(8)
@@ -31,9 +33,9 @@ def _sentencepiece(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def count(text: str, path: str) -> int:
-    """Ids of one text, without begin, end or added special tokens."""
-    return len(_sentencepiece(path).encode(text)) if path.endswith(".model") else bpe.count_tokens(text, path)
+def count(texts: list[str], path: str) -> list[int]:
+    """Numbers of ids, without begin, end or added special tokens."""
+    return [len(_sentencepiece(path).encode(t)) for t in texts] if path.endswith(".model") else bpe.count_batch(texts, path)
 
 
 def tokenizer_version(path: str) -> str:
@@ -46,9 +48,10 @@ def drops_white_space(path: str) -> bool:
     return path.endswith(".json") and (b := bpe.loaded(path)[0]).latin is not None and "Replace" in b.normalizers
 
 
-def normalised(text: Column, path: str) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return F.trim(F.regexp_replace(text, "[\\x09-\\x0D\\x20]+", " ")) if drops_white_space(path) else text
+def digest(text: str, drop: bool) -> bytes:
+    """SHA-256 of the normalised content."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return hashlib.sha256(b" ".join(raw.split()) if drop else raw).digest()
 
 
 def _stored(spark: SparkSession, place: str) -> DataFrame:
@@ -62,16 +65,28 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, id_col: s
     spark = docs.sparkSession
     narrow_batches(spark)
     place = f"{cache or shared_dir(spark)}/tokenizer={tokenizer_version(path)}"
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    told = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(F.col(text_col), path).cast("binary"), 256)).alias("digest"), text.alias("text"))
-    missing = told.groupBy("digest").agg(F.min("id").alias("id")).join(_stored(spark, place), "digest", "left_anti")
-    chosen = told.alias("t").join(missing.alias("m"), F.col("t.id").eqNullSafe(F.col("m.id")) & (F.col("t.digest") == F.col("m.digest"))).select("t.digest", "t.text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind, drop = rows.schema["id"].dataType.simpleString(), drops_white_space(path)
+
+    def describe(batches):
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            sizes = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(t, drop) for t in texts], pa.binary()), sizes], names=["id", "digest", "n_bytes"])
+
+    told = written(rows.mapInArrow(describe, f"id {kind}, digest binary, n_bytes bigint"))
+    missing = told.groupBy("digest").agg(F.min("id").alias("chosen")).join(_stored(spark, place), "digest", "left_anti")
+    chosen = rows.join(missing, F.col("id").eqNullSafe(F.col("chosen"))).select("digest", "text")
 
     def encode(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(t.as_py(), path) for t in b.column(1)], pa.int64())], names=["digest", "n_tokens"])
+            wanted, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            at = [k for k, t in enumerate(texts) if digest(t, drop) == wanted[k]]  # rows may share an id, not the text
+            counts = []
+            for k in range(0, len(at), COUNTED):
+                counts += count([texts[i] for i in at[k : k + COUNTED]], path)
+            yield pa.RecordBatch.from_arrays([pa.array([wanted[k] for k in at], pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     # rows repeated with one id are encoded alike: the cache keeps one of them
     chosen.mapInArrow(encode, SCHEMA).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(place)
-    sizes = told.select("id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes"))
-    return sizes.join(_stored(spark, place), "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    return told.join(_stored(spark, place), "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
