@@ -39,6 +39,12 @@ def test_bpe_matches_the_library(odd, docs):
             assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_counts_of_a_batch_match_the_library(docs):
+    library, texts = Tokenizer.from_file(PATH), [r.text or "" for r in docs.select("text").collect()]
+    texts += ["J\u030c İ ſ ŉ a\u0301", "''s 'S'LL <|endoftext|>x <|", "b" * 70 + " " + "c" * 64, "\x1c\x85\u2003 é"]
+    assert bpe.count_batch(texts, PATH) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_token_counts_use_the_cache(spark, odd, tmp_path):
     library, texts = Tokenizer.from_file(PATH), {r.doc_id: r.text or "" for r in odd.collect()}
     for _ in range(2):
