@@ -189,6 +189,24 @@ def test_lines(spark):
     assert {r.doc_id: r.text for r in line_dedup.without_lines(table).collect()}[2] == "something else entirely is written here"
 
 
+def test_lines_of_long_bands(spark):
+    """Pairs planted among lines of one template: many share none but long bands."""
+    rng = random.Random(7)
+    word = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    common, texts = " ".join(word(8) for _ in range(28)), []
+    for _ in range(300):
+        own = word(40)
+        texts += [f"{common} {own}", f"{common} {own[:-24]}{word(24)}"]
+    keyed = line_dedup.bands(texts)
+    assert all(set(keyed[k]) & set(keyed[k + 1]) for k in range(0, 600, 2))
+    sets = [line_dedup.shingles(t) for t in texts]
+    similar = {(i, j) for i in range(600) for j in range(i) if len(sets[i] & sets[j]) >= line_dedup.SIMILARITY * len(sets[i] | sets[j])}
+    assert similar == {(k + 1, k) for k in range(0, 600, 2)}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    gone = {r.doc_id for r in line_dedup.removed_lines(table).where("not kept").collect()}
+    assert gone == set(range(1, 600, 2))
+
+
 def test_warc_round_trip_and_pushdown(spark, tmp_path):
     big = "é" * 900
     rows = [(1, "http://a", big), (2, None, big), (3, "http://c\r\nX: y", "small"), (4, "http://d", "small"), (5, "u", None)]
