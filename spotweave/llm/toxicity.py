@@ -8,8 +8,9 @@ comes from the toxic model, the rest from the ordinary one.  A text's score is t
 log-likelihoods divided by its number of words, put through a logistic curve that is fitted on labelled texts scored
 by models which have not seen them (two halves, crossed).
 
-All labelled training rows are counted, in distributed sums by word and then by character n-gram; the model kept is
-bounded to the MODEL_GRAMS commonest n-grams, and the curve is fitted on at most CURVE_ROWS labelled rows.
+All labelled training rows are counted, by word and then by character n-gram, and every n-gram and continuation count
+is kept, in distributed tables.  Ratios of the COMMON_WORDS commonest training words travel to the texts; all other
+words of a text meet their ratios in a join.  The curve is fitted on at most about CURVE_ROWS labelled rows.
 
 Defined results: null and empty texts have no words and get the curve's value at zero, the score of a text that tells
 nothing; a label that is null is no label; several labels of one document count as toxic if one is; without training
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import narrow_batches, small
+from spotweave.llm.common import narrow_batches, small, written
 
 ORDER, DISCOUNT = 6, 0.75
 SHARES = (0.05, 0.02, 0.01, 0.005, 0.002)
-MODEL_GRAMS, CURVE_ROWS, TASK_WORDS, MEMO_WORDS = 400_000, 20_000, 400_000, 300_000
+CURVE_ROWS, TASK_WORDS, COMMON_WORDS = 20_000, 400_000, 300_000
 PAD, END = "\x02", "\x03"
 WORD = re.compile(r"\w+")
 
@@ -43,80 +44,88 @@ def grams(word: str) -> list[str]:
     return [padded[i : i + ORDER] for i in range(len(word) + 1)]
 
 
-class SharedBackoff:
-    """Kneser-Ney probabilities below the highest order, from pooled continuation counts."""
-
-    def __init__(self, inventory):
-        self.counts: list[Counter] = [Counter() for _ in range(ORDER)]  # by length - 1: in how many settings a piece occurs
-        level = set(inventory)
-        for n in range(ORDER - 1, 0, -1):
-            self.counts[n - 1].update(g[1:] for g in level)
-            level = {g[1:] for g in level}
-        self.totals: list[Counter] = [Counter() for _ in range(ORDER)]  # by context
-        self.kinds: list[Counter] = [Counter() for _ in range(ORDER)]
-        for n in range(ORDER - 1):
-            for piece, c in self.counts[n].items():
-                self.totals[n][piece[:-1]] += c
-                self.kinds[n][piece[:-1]] += 1
-        self.uniform = 1 / (1 + len(self.counts[0]))
-
-    def probability(self, piece: str) -> float:
-        """Of a piece's last character after the others."""
-        p = self.uniform
-        for n in range(len(piece)):
-            part = piece[len(piece) - 1 - n :]
-            total = self.totals[n].get(part[:-1], 0)
-            if total:
-                p = (max(self.counts[n].get(part, 0) - DISCOUNT, 0) + DISCOUNT * self.kinds[n][part[:-1]] * p) / total
-        return p
-
-
-class Ratios:
-    """log P(toxic) - log P(ordinary) of every character in its context, as two tables: of n-grams that were seen, and
-    of contexts for n-grams that were not."""
-
-    def __init__(self, counts: dict[str, tuple[float, float]], backoff: SharedBackoff):
-        total, kinds = [Counter(), Counter()], [Counter(), Counter()]
-        for g, both in counts.items():
-            for k in (0, 1):
-                if both[k]:
-                    total[k][g[:-1]] += both[k]
-                    kinds[k][g[:-1]] += 1
-        self.gram: dict[str, float] = {}
-        self.context: dict[str, float] = {}
-        for g, both in counts.items():
-            h, shared, p = g[:-1], backoff.probability(g[1:]), [0.0, 0.0]
-            for k in (0, 1):
-                p[k] = (max(both[k] - DISCOUNT, 0) + DISCOUNT * kinds[k][h] * shared) / total[k][h] if total[k][h] else shared
-            self.gram[g] = math.log(p[1] / p[0])
-        for h in {g[:-1] for g in counts}:
-            left = [DISCOUNT * kinds[k][h] / total[k][h] if total[k][h] else 1.0 for k in (0, 1)]
-            self.context[h] = math.log(left[1] / left[0])
-
-
-class WordRatios(dict):
-    """Word -> its log-likelihood ratio, toxic mixture to ordinary, remembered."""
-
-    def __init__(self, ratios: Ratios, share: float):
-        super().__init__()
-        self.ratios, self.share = ratios, share
-
-    def __missing__(self, word: str) -> float:
-        gram, context, out = self.ratios.gram, self.ratios.context, 0.0
-        for g in grams(word):
-            v = gram.get(g)
-            out += context.get(g[:-1], 0.0) if v is None else v
-        out = math.log1p(self.share * math.expm1(min(out, 100.0)))
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-    def mean(self, text: str | None) -> float:
-        """The length-normalised ratio of a whole text."""
-        words = WORD.findall((text or "").lower())
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        return sum(map(self.__getitem__, words)) / len(words) if words else 0.0
+def backoff(inventory: DataFrame) -> DataFrame:
+    """(piece, p): Kneser-Ney probabilities of the last character of every piece below the highest order, from pooled
+    continuation counts; `inventory` has each n-gram of the highest order once."""
+    levels, level = [], inventory.select(F.col("gram").alias("piece"))
+    for _ in range(ORDER - 1):
+        level = written(level.groupBy(F.expr("substring(piece, 2)").alias("piece")).agg(F.count(F.lit(1)).alias("c")))
+        levels.append(level)
+    out = None
+    for n, level in enumerate(reversed(levels), 1):
+        rows = level.withColumn("context", F.substring("piece", 1, n - 1))
+        of = rows.groupBy("context").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        rows = rows.join(of, "context")
+        if out is None:
+            rows = rows.withColumn("shared", F.lit(1 / (1 + level.count())))
+        else:
+            rows = rows.withColumn("part", F.expr("substring(piece, 2)")).join(out.toDF("part", "shared"), "part")
+        out = rows.select("piece", ((F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("shared")) / F.col("total")).alias("p"))
+    return written(out)
+
+
+#: Counts of a class and n-gram by column of ratios: of all rows, and of those outside either half.
+CELLS = {"r": ("c0 + c1", "c2 + c3"), "r0": ("c1", "c3"), "r1": ("c0", "c2")}
+
+
+def ratio_tables(by_gram: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """log P(toxic) - log P(ordinary) of every character in its context: (gram, r, r0, r1) of all n-grams that were
+    seen, and (context, r, r0, r1) for n-grams that were not."""
+    sides = [(f"{r}_{k}", F.expr(both[k])) for r, both in CELLS.items() for k in (0, 1)]
+    rows = by_gram.select("gram", F.substring("gram", 1, ORDER - 1).alias("context"), F.expr("substring(gram, 2)").alias("piece"), *(v.alias(c) for c, v in sides))
+    of = rows.groupBy("context").agg(*(F.sum(c).alias(f"total_{c}") for c, _ in sides), *(F.sum((F.col(c) > 0).cast("bigint")).alias(f"kinds_{c}") for c, _ in sides))
+    of = written(of)
+
+    def seen(c: str) -> Column:
+        p = (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds_{c}") * F.col("p")) / F.col(f"total_{c}")
+        return F.when(F.col(f"total_{c}") > 0, p).otherwise(F.col("p"))
+
+    def left(c: str) -> Column:
+        return F.when(F.col(f"total_{c}") > 0, DISCOUNT * F.col(f"kinds_{c}") / F.col(f"total_{c}")).otherwise(1.0)
+
+    grams_of = rows.join(of, "context").join(backoff(by_gram), "piece").select("gram", *(F.log(seen(f"{r}_1") / seen(f"{r}_0")).alias(r) for r in CELLS))
+    return written(grams_of), written(of.select("context", *(F.log(left(f"{r}_1") / left(f"{r}_0")).alias(r) for r in CELLS)))
+
+
+def word_ratios(words: DataFrame, tables: tuple[DataFrame, DataFrame], *names: str) -> DataFrame:
+    """(word, ratios) of distinct words."""
+
+    def run(batches):
+        for b in batches:
+            pairs = [(w, g, n) for w in b.column(0).to_pylist() for g, n in Counter(grams(w)).items()]
+            word, gram, n = zip(*pairs, strict=True) if pairs else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(gram, pa.string()), pa.array(n, pa.int64())], names=["word", "gram", "n"])
+
+    seen, unseen = tables
+    rows = words.select("word").mapInArrow(run, "word string, gram string, n bigint").withColumn("context", F.substring("gram", 1, ORDER - 1))
+    rows = rows.join(seen.select("gram", *(F.col(r).alias(f"g_{r}") for r in names)), "gram", "left")
+    rows = rows.join(unseen.select("context", *(F.col(r).alias(f"h_{r}") for r in names)), "context", "left")
+    return rows.groupBy("word").agg(*(F.sum(F.coalesce(f"g_{r}", f"h_{r}", F.lit(0.0)) * F.col("n")).alias(r) for r in names))
+
+
+def mixture(ratio: Column, share: float) -> Column:
+    """A word's log-likelihood ratio, toxic mixture to ordinary."""
+    return F.log1p(F.lit(share) * F.expm1(F.least(ratio, F.lit(100.0))))
+
+
+def told_words(rows: DataFrame, common: dict[str, float]) -> DataFrame:
+    """(key, n, base, rest) of rows (key, text): the number of words, the sum of the common ones' ratios, the others."""
+    shipped = rows.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        held = shipped.value
+        for b in batches:
+            n, base, rest = [], [], []
+            for text in b.column(1).to_pylist():
+                words = Counter(WORD.findall((text or "").lower()))
+                n.append(words.total())
+                base.append(sum(held[w] * k for w, k in words.items() if w in held))
+                rest.append([{"word": w, "times": k} for w, k in words.items() if w not in held])
+            kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(base, pa.float64()), pa.array(rest, kind)], names=["key", "n", "base", "rest"])
+
+    key = rows.schema["key"].dataType.simpleString()
+    return written(rows.select("key", "text").mapInArrow(run, f"key {key}, n bigint, base double, rest array<struct<word:string,times:bigint>>"))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -141,20 +150,16 @@ def held_out(id_col: Column) -> Column:
 
 
 class ToxicityModel:
-    """The fitted ratios and the curve; of bounded size, so it is broadcast."""
+    """The fitted ratios, as tables, and the curve; `common` has the commonest words' ratios."""
 
-    def __init__(self, ratios: Ratios | None, share: float, slope: float, intercept: float):
-        self.ratios, self.share, self.slope, self.intercept = ratios, share, slope, intercept
-        self._words: WordRatios | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_words": None}
+    def __init__(self, tables: tuple[DataFrame, DataFrame] | None, share: float, slope: float, intercept: float, common: dict[str, float] | None = None):
+        self.tables, self.share, self.slope, self.intercept, self.common = tables, share, slope, intercept, common or {}
 
     def score(self, text: str | None) -> float:
-        if self.ratios is None:
+        if self.tables is None:
             return 0.499
-        self._words = self._words if self._words is not None else WordRatios(self.ratios, self.share)
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.slope * self._words.mean(text) + self.intercept))))
+        one = self.tables[0].sparkSession.createDataFrame([(text,)], "text string")
+        return toxicity_scores(one, self).first().score
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
@@ -195,47 +200,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     sums = lambda: [F.sum(f"c{k}").alias(f"c{k}") for k in range(4)]
     by_word = train.select("toxic", "half", "text").mapInArrow(words, "word string, cell int, n bigint")
-    by_word = by_word.groupBy("word").agg(*[F.sum(F.when(F.col("cell") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(4)])
+    by_word = written(by_word.groupBy("word").agg(*[F.sum(F.when(F.col("cell") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(4)]))
     by_gram = by_word.mapInArrow(pieces, "gram string, c0 bigint, c1 bigint, c2 bigint, c3 bigint").groupBy("gram").agg(*sums())
-    kept = by_gram.orderBy(F.desc(F.expr("c0 + c1 + c2 + c3")), "gram").limit(MODEL_GRAMS).toArrow().to_pydict()
-    counts = {g: n for g, *n in zip(kept["gram"], *(kept[f"c{k}"] for k in range(4)), strict=True)}
-    if not any(n[0] + n[1] for n in counts.values()) or not any(n[2] + n[3] for n in counts.values()):
+    by_gram = written(by_gram)
+    total = by_gram.agg(F.sum(F.expr("c0 + c1")), F.sum(F.expr("c2 + c3"))).first()
+    if not total[0] or not total[1]:
         return ToxicityModel(None, 0.0, 0.0, 0.0)
-    backoff = SharedBackoff(counts)
-    # cell = 2 * toxic + half: a half's texts are scored by the other half's counts
-    crossed = [Ratios({g: (n[1 - h], n[3 - h]) for g, n in counts.items()}, backoff) for h in (0, 1)]
-    shipped = spark.sparkContext.broadcast(crossed)
-
-    def curve(batches):
-        by_half = [[WordRatios(r, s) for s in SHARES] for r in shipped.value]
-        for b in batches:
-            toxic, h, text = (c.to_pylist() for c in b.columns)
-            x = [[w.mean(t) for w in by_half[k]] for k, t in zip(h, text, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
+    tables = ratio_tables(by_gram)
 
     rows = told.count()
     part = train.where(F.pmod(F.xxhash64("id", F.lit(12)), F.lit(max(1, -(-rows // CURVE_ROWS)))) == 0)
-    points = part.select("toxic", "half", "text").mapInArrow(curve, "toxic int, x array<double>").toArrow()
-    shipped.destroy()
+    part = part.select("toxic", "half", "text").withColumn("key", F.struct(F.monotonically_increasing_id().alias("row"), "toxic", "half"))
+    sample = told_words(part, {})
+    tokens = sample.select("key", "n", F.explode("rest").alias("w")).select("key", "n", "w.word", "w.times")
+    # cell = 2 * toxic + half: a half's texts are scored by the other half's counts
+    ratio = F.when(F.col("key.half") == 0, F.col("r0")).otherwise(F.col("r1"))
+    x = [F.sum(F.col("times") * mixture(ratio, s) / F.col("n")) for s in SHARES]
+    sums = tokens.join(word_ratios(tokens.select("word").distinct(), tables, "r0", "r1"), "word").groupBy("key.row").agg(F.array(*x).alias("x"))
+    points = sample.select("key.row", "key.toxic").join(sums, "row", "left").select("toxic", F.coalesce("x", F.array(*[F.lit(0.0)] * len(SHARES))).alias("x")).toArrow()
     y = points.column("toxic").to_numpy().astype(float)
     x = np.array(points.column("x").to_pylist(), float).reshape(len(y), len(SHARES))
     curves = [fit_curve(x[:, k], y) for k in range(len(SHARES))]
     loss = [float(np.logaddexp(0, np.where(y > 0, -1, 1) * (a * x[:, k] + b)).sum()) for k, (a, b) in enumerate(curves)]
     best = int(np.argmin(loss))
-    return ToxicityModel(Ratios({g: (n[0] + n[1], n[2] + n[3]) for g, n in counts.items()}, backoff), SHARES[best], *curves[best])
+    usual = by_word.orderBy(F.desc(F.expr("c0 + c1 + c2 + c3")), "word").limit(COMMON_WORDS).select("word")
+    common = word_ratios(usual, tables, "r").select("word", mixture(F.col("r"), SHARES[best]).alias("r")).toArrow().to_pydict()
+    return ToxicityModel(tables, SHARES[best], *curves[best], dict(zip(common["word"], common["r"], strict=True)))
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with `score`, by the text alone."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
     narrow_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("score", F.lit(0.0)).schema
-    at = names.index(text_col)
-
-    def run(batches):
-        for b in batches:
-            scores = pa.array([shipped.value.score(t.as_py()) for t in b.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*names, "score"])
-
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "score"))
+    if model.tables is None:
+        return rows.withColumn("score", F.lit(model.score(None)))
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    told = told_words(rows.select(digest.alias("key"), F.col(text_col).alias("text")), model.common).dropDuplicates(["key"])
+    tokens = told.select("key", F.explode("rest").alias("w")).select("key", "w.word", "w.times")
+    found = word_ratios(tokens.select("word").distinct(), model.tables, "r").select("word", mixture(F.col("r"), model.share).alias("r"))
+    sums = tokens.join(found, "word").groupBy("key").agg(F.sum(F.col("r") * F.col("times")).alias("more"))
+    mean = F.when(F.col("n") > 0, (F.col("base") + F.coalesce("more", F.lit(0.0))) / F.col("n")).otherwise(0.0)
+    power = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), model.slope * mean + model.intercept))
+    scores = written(told.select("key", "n", "base").join(sums, "key", "left").select(F.col("key").alias("text_digest"), (1 / (1 + F.exp(-power))).alias("score")))
+    return rows.withColumn("text_digest", digest).join(small(scores), "text_digest").drop("text_digest")

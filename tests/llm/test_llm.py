@@ -180,6 +180,21 @@ def test_toxicity_of_rows_not_learnt_from(spark):
     assert toxicity.fit(table, spark.createDataFrame([], "doc_id bigint, toxic int")).score("x") < 0.5
 
 
+def test_toxicity_keeps_every_gram(spark, monkeypatch):
+    """Scores are those of all counts, whatever travels to the texts, and a rare expression is not forgotten."""
+    rng = random.Random(4)
+    plain = [" ".join(rng.choices(["river", "stone", "garden", "letter", "window", "market"], k=12)) for _ in range(60)]
+    texts = [f"{t} qzxv{'abcdefghij'[k % 10]}" if k % 2 else t for k, t in enumerate(plain)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, toxic int")
+    scores = lambda: {r.doc_id: r.score for r in toxicity.toxicity_scores(table, toxicity.fit(table, labels)).collect()}
+    whole = scores()
+    monkeypatch.setattr(toxicity, "MODEL_GRAMS", 20, raising=False)
+    monkeypatch.setattr(toxicity, "COMMON_WORDS", 3, raising=False)
+    assert scores() == pytest.approx(whole)
+    assert min(whole[k] for k in range(1, 60, 2)) > max(whole[k] for k in range(0, 60, 2))
+
+
 def test_lines(spark):
     a = "the quick brown fox jumps over the lazy dog and runs away into the dark forest at night"
     rows = [(1, f"{a}\nunique line number one of the first text\n\n{a}"), (2, f"{a}!\nsomething else entirely is written here"), (3, None), (4, "")]
