@@ -1,7 +1,9 @@
 """Columnar archives: container directory, column locators, blob envelopes and page maps, as a Spark data source.
 
-`archive_toc` and `archive_blobs` are relations over files that Spark's own binary reader finds; bytes of a member are
-decoded in Arrow functions.  Integers are little-endian.  Codecs beyond plain, deflate and zlib data are refused by name.
+`archive_toc`, the directory, is a relation over files that Spark's own binary reader finds; locators, envelopes and page
+maps are functions over bytes, and no relation of blobs is built on them yet.  Integers are little-endian.  Not built:
+idx0 overlays, the one blob over all data of a column without locators (such a column gives no blobs), and checks of
+CRC-32 (`checksum` computes it, no reader calls it) and MD5.
 """
 
 from __future__ import annotations
