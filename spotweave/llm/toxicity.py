@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for toxic, h, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 cell = 2 * toxic + h
                 for w, n in Counter(WORD.findall((text or "").lower())).items():
-                    held[w[:64], cell] += n
+                    held[w, cell] += n
             if len(held) > TASK_WORDS:
                 yield emit()
         if held:

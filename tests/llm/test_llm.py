@@ -195,6 +195,15 @@ def test_toxicity_keeps_every_gram(spark, monkeypatch):
     assert min(whole[k] for k in range(1, 60, 2)) > max(whole[k] for k in range(0, 60, 2))
 
 
+def test_toxicity_learns_whole_words(spark):
+    """What lies beyond a word's first characters counts."""
+    texts = ["ab" * 32 + ("qzxvj" if k % 2 else "mnoph") for k in range(40)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int").coalesce(1)
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(table, toxicity.fit(table, labels)).collect()}
+    assert min(got[k] for k in range(1, 40, 2)) > 0.5 > max(got[k] for k in range(0, 40, 2))
+
+
 def test_lines(spark):
     a = "the quick brown fox jumps over the lazy dog and runs away into the dark forest at night"
     rows = [(1, f"{a}\nunique line number one of the first text\n\n{a}"), (2, f"{a}!\nsomething else entirely is written here"), (3, None), (4, "")]
