@@ -15,6 +15,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    # shuffle files of a query go when it ends, not when the driver happens to collect its garbage
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
