@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset, as in tests."""
+    """A fresh folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset and all
+    tasks run in the driver's process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spotweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/spotweave-{uuid.uuid4().hex}"
@@ -29,14 +33,17 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows reread from a table in the shared folder: lineage is cut, a lost executor costs nothing before it."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in the shared store, through Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that nothing reads any more, through Spark's own file system."""
+    for t in tables:
+        if path := t.__dict__.pop("stored_at", None):
+            at = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

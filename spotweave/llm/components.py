@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import written
+from spotweave.llm.common import release, written
 
 #: Edges that a task unites at once.
 TASK_EDGES = 1_000_000
@@ -66,7 +66,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         new = written(small)
+        release(large)
         state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state(new) == state(now):
-            return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        same = state(new) == state(now)
+        release(now)
+        if same:
+            out = new.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out.stored_at = new.stored_at
+            return out
         now = new

@@ -8,11 +8,9 @@ set's prefix (so few shingles that two linked sets must share one), a list of (s
   the bitmap says.
 * Index level.  Lists are sorted by size and cut into blocks; sizes and positions bound the overlap of any two entries
   and skip whole blocks, then single pairs.  A list of at most LIST entries gives all pairs left.
-* Answer level.  A longer list (a large group of similar texts) gives only the pairs of its entries with a few leaders,
-  the same in all lists.  A set that proves similar to its leader takes over the leader's answers: only pairs between
-  sets that are not yet connected are looked at again, and of those the bounds derived from the distances to a common
-  leader, |d(x,p) - d(y,p)| <= |x ^ y|, and from parity sketches, skip what cannot link.  Rounds widen until one has
-  looked at every pair left, so no link between components is lost.
+* Answer level.  A longer list (a large group of similar texts) gives no pairs: its sets go to groups under leaders
+  (`families`), whose exact distances |x ^ p| give a member its leader's answers, skip most others by
+  |d(x,p) - d(y,p)| <= |x ^ y|, and leave the rest to comparisons inside tasks that end where components are one.
 
 Sets are verified exactly; they travel only for pairs that pass all bounds.  Equal sets are one node.  A set is known
 by its size and 64 bits of its digest, a shingle by 64 bits.
@@ -25,23 +23,23 @@ their sets still link; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import narrow_batches, slices, text_bytes, written
+from spotweave.llm import families
+from spotweave.llm.common import narrow_batches, release, slices, text_bytes, written
 from spotweave.llm.components import components
 from spotweave.llm.shingles import shingle_sets
 
-#: Entries of a list that gives all its pairs; leaders of a longer one; entries of a block.
-LIST, LEADERS, BLOCK = 64, 4, 64
+#: Entries of a list that gives all its pairs; entries of a block.
+LIST, BLOCK = 64, 64
 #: A shingle in so many sets (doubled until at most HEAVY are) comes last in the order.
 FREQUENT, HEAVY = 24, 1_000_000
 HEAVY_BITS, TEXT_BYTES = 26, 1 << 20
-#: Pairs that a long list gives for each pair of components, by round; None: all.
-ROUNDS = (4, 64, None)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -181,7 +179,9 @@ class Join:
         least, found = FREQUENT, written(counts.where(F.col("n") >= FREQUENT))
         while found.where(F.col("n") >= least).count() > HEAVY:
             least *= 2
-        return Bits.of(found.where(F.col("n") >= least).select("slot"), HEAVY_BITS)
+        bits = Bits.of(found.where(F.col("n") >= least).select("slot"), HEAVY_BITS)
+        release(found)
+        return bits
 
     def described(self) -> DataFrame:
         """(id, sid, n, sketch, prefix) of every row; sketch and prefix only at the first of a task's equal sets."""
@@ -203,26 +203,33 @@ class Join:
         return written(self.docs.mapInArrow(run, "id bigint, sid bigint, n bigint, sketch binary, prefix array<bigint>"))
 
     def listed(self, described: DataFrame) -> DataFrame:
-        """Rows (token, n, position, sid, other): candidate pairs (sid, other), and the entries of long lists (other null)."""
+        """Rows (token, n, sid, other): candidate pairs (sid, other), and the entries of long lists (other null)."""
         postings = described.where("prefix is not null").select("n", "sid", F.posexplode("prefix").alias("position", "token"))
         postings = postings.select("token", F.col("n").cast("int").alias("n"), "position", "sid").repartition("token").sortWithinPartitions("token", "n", "sid")
         percent = self.percent
 
         def run(batches):
-            rest = None
-            last = False
-            batches = iter(batches)
-            while not last:
-                b = next(batches, None)
-                last = b is None
-                new = None if last else [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            rest, open_list = None, None
+            for b in itertools.chain(batches, [None]):
+                new = None if b is None else [c.to_numpy(zero_copy_only=False) for c in b.columns]
                 cols = new if rest is None else rest if new is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
-                if cols is None:
-                    return
+                if cols is None or not len(cols[0]):
+                    continue
+                if open_list is not None:  # a list known to be long goes through as it comes
+                    more = int(np.searchsorted(cols[0], open_list, "right"))
+                    yield entries(*(c[:more] for c in cols))
+                    cols = [c[more:] for c in cols]
                 token = cols[0]
-                end = len(token) if last else int(np.searchsorted(token, token[-1], "left"))  # the last list may go on
-                rest = [c[end:] for c in cols]
+                end = len(token) if b is None or not len(token) else int(np.searchsorted(token, token[-1], "left"))  # the last list may go on
                 yield from lists(*(c[:end] for c in cols))
+                rest = [c[end:] for c in cols]
+                if len(np.unique(rest[3])) > LIST:
+                    open_list = rest[0][0]
+                    yield entries(*rest)
+                    rest = None
+
+        def entries(token, n, position, sid):
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n.astype(np.int64)), pa.array(sid), pa.nulls(len(token), pa.int64())], names=names)
 
         def lists(token, n, position, sid):
             keep = np.ones(len(token), bool)
@@ -230,14 +237,13 @@ class Join:
             token, n, position, sid = token[keep], n[keep].astype(np.int64), position[keep].astype(np.int64), sid[keep]
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             lengths = np.diff(np.append(starts, len(token)))
-            left, right, long = [], [], []
+            left, right = [], []
             for a, k in zip(starts[lengths > 1].tolist(), lengths[lengths > 1].tolist(), strict=True):
                 part = slice(a, a + k)
-                if k <= LIST:
-                    i, j = pairs_of_list(n[part], position[part], percent)
-                else:
-                    long.append(np.arange(a, a + k))
-                    i, j = led(n[part], position[part], sid[part], percent)
+                if k > LIST:
+                    yield entries(token[part], n[part], position[part], sid[part])
+                    continue
+                i, j = pairs_of_list(n[part], position[part], percent)
                 left.append(sid[a + i])
                 right.append(sid[a + j])
             if left:
@@ -245,13 +251,10 @@ class Join:
                 pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
                 if len(pairs):
                     none = pa.nulls(len(pairs), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=names)
-            if long:
-                at = np.concatenate(long)
-                yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(n[at]), pa.array(position[at]), pa.array(sid[at]), pa.nulls(len(at), pa.int64())], names=names)
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=names)
 
-        names = ["token", "n", "position", "sid", "other"]
-        return written(postings.mapInArrow(run, "token bigint, n bigint, position bigint, sid bigint, other bigint"))
+        names = ["token", "n", "sid", "other"]
+        return written(postings.mapInArrow(run, "token bigint, n bigint, sid bigint, other bigint"))
 
     def near(self, pairs: DataFrame, described: DataFrame) -> DataFrame:
         """The pairs (a, b) that sizes and parity sketches allow."""
@@ -267,13 +270,16 @@ class Join:
                 keep = [apart(x.as_py(), y.as_py()) <= r for x, y, r in zip(t.column(4), t.column(5), room.tolist(), strict=True)]
                 yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return written(both.mapInArrow(run, "a bigint, b bigint"))
+        out = written(both.mapInArrow(run, "a bigint, b bigint"))
+        release(sketches)
+        return out
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """(sid, set) of all sets in the pairs (and a few more: a bitmap of bounded size chooses them where texts are read)."""
-        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(sid, set) of all wanted sets (and a few more: a bitmap of bounded size chooses them where texts are read)."""
+        wanted = written(wanted.distinct())
         bits = max(16, min(27, int(np.ceil(np.log2(16 * max(1, wanted.count()))))))
         chosen = self.spark.sparkContext.broadcast(Bits.of(wanted, bits).words)
+        release(wanted)
         width = self.width
 
         def run(batches):
@@ -287,22 +293,21 @@ class Join:
 
         return written(self.docs.select("text").mapInArrow(run, "sid bigint, set binary").groupBy("sid").agg(F.first("set").alias("set")))
 
-    def distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(a, b, distance, linked) of the pairs, exactly: distance is |x ^ y|."""
+    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, exactly."""
         percent = self.percent
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
         def run(batches):
             for t in batches:
-                distance, linked = [], []
+                keep = []
                 for x, y in zip(t.column(2), t.column(3), strict=True):
                     x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                     shared = len(np.intersect1d(x, y, assume_unique=True))
-                    distance.append(len(x) + len(y) - 2 * shared)
-                    linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
-                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(distance, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "distance", "linked"])
+                    keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return written(both.mapInArrow(run, "a bigint, b bigint, distance bigint, linked boolean"))
+        return written(both.mapInArrow(run, "a bigint, b bigint"))
 
     @staticmethod
     def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -310,120 +315,37 @@ class Join:
         a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
         return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    def again(self, long: DataFrame, roots: DataFrame, described: DataFrame, known: DataFrame, most: int | None) -> DataFrame:
-        """Pairs of long lists between components, the `most` nearest (by sketches) of each two components and list."""
-        percent = self.percent
-        sketches = described.where("sketch is not null").groupBy("sid").agg(F.first("sketch").alias("sketch"))
-        leader = known.select(F.col("b").alias("sid"), F.col("a").alias("leader"), "distance").union(known.select("a", "b", "distance"))
-        leader = leader.groupBy("sid").agg(F.min(F.struct("distance", "leader")).alias("l")).select("sid", F.col("l.leader").alias("leader"), F.col("l.distance").alias("distance"))
-        rows = long.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        # lists within one component have their answers
-        mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        rows = rows.join(mixed, "token", "left_semi").join(sketches, "sid").join(leader, "sid", "left")
-        rows = rows.select("token", "n", "position", "sid", "root", "leader", "distance", "sketch").repartition("token").sortWithinPartitions("token", "n", "sid")
-
-        def run(batches):
-            held: list[dict] = []
-            for b in batches:
-                for r in b.to_pylist():
-                    if held and held[-1]["token"] != r["token"]:
-                        yield from one(held)
-                        held = []
-                    held.append(r)
-            if held:
-                yield from one(held)
-
-        def one(rows: list[dict]):
-            n, position = (np.array([r[c] for r in rows], np.int64) for c in ("n", "position"))
-            root, sid = (np.array([r[c] for r in rows], np.int64) for c in ("root", "sid"))
-            size = min(len(r["sketch"]) for r in rows)
-            sketch = np.array([folded(np.frombuffer(r["sketch"], np.uint8), size) for r in rows])
-            wide = np.array([r["leader"] is not None for r in rows])
-            leader, distance = (np.array([r[c] or 0 for r in rows], np.int64) for c in ("leader", "distance"))
-            found = []
-            for a in range(0, len(rows), BLOCK):
-                b = min(a + BLOCK, len(rows))
-                top = int(np.searchsorted(n * percent, 100 * n[b - 1], "right"))  # later sets are too large for the block
-                i, j = np.meshgrid(np.arange(a, b), np.arange(a, top), indexing="ij")
-                fine = (i < j) & (root[i] != root[j])
-                i, j = i[fine], j[fine]
-                need = needed(n[i], n[j], percent)
-                room = n[i] + n[j] - 2 * need
-                fine = np.minimum(position[i], position[j]) + np.minimum(n[i] - position[i], n[j] - position[j]) >= need
-                fine &= ~(wide[i] & wide[j] & (leader[i] == leader[j]) & (np.abs(distance[i] - distance[j]) > room))
-                i, j, room = i[fine], j[fine], room[fine]
-                for c in range(0, len(i), 1 << 14):
-                    x, y, r = i[c : c + (1 << 14)], j[c : c + (1 << 14)], room[c : c + (1 << 14)]
-                    far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
-                    found.append(np.column_stack([x, y, far])[far <= r])
-            got = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-            if most is not None and len(got):
-                lo, hi = np.minimum(root[got[:, 0]], root[got[:, 1]]), np.maximum(root[got[:, 0]], root[got[:, 1]])
-                order = np.lexsort((got[:, 2], hi, lo))
-                got, lo, hi = got[order], lo[order], hi[order]
-                new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-                first = np.flatnonzero(new)
-                got = got[np.arange(len(got)) - first[np.cumsum(new) - 1] < most]
-            if len(got):
-                x, y = sid[got[:, 0]], sid[got[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-        return written(rows.mapInArrow(run, "a bigint, b bigint").distinct())
-
-    def verified(self, pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(links, roots, distances) after looking at the pairs: first one pair a set, then those still between components."""
-        sets = self.sets(pairs)
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(node, root) that the similar ones of the pairs connect: first one pair a set, then those still between components."""
         first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        done = self.distances(first, sets)
-        links = done.where("linked").select("a", "b") if links is None else links.unionByName(done.where("linked").select("a", "b"))
-        roots = components(links)
-        left = self.between(pairs.join(first, ["a", "b"], "left_anti"), roots)
-        more = self.distances(left, sets)
-        links = links.unionByName(more.where("linked").select("a", "b"))
-        return links, written(components(links)), done.unionByName(more)
+        done = self.linked(first, sets)
+        roots = components(done)
+        more = self.linked(self.between(pairs.join(first, ["a", "b"], "left_anti"), roots), sets)
+        out = components(roots.toDF("a", "b").unionByName(more))
+        release(done, more, roots)
+        return out
 
     def run(self) -> DataFrame:
         """(id, n_shingles, component_id) of every row."""
         described = self.described()
         listed = self.listed(described)
-        pairs = listed.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct()
-        links, roots, known = self.verified(self.near(pairs, described), None)
-        long = listed.where("other is null").drop("other")
+        pairs = self.near(listed.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct(), described)
+        nodes = written(described.select("id", "sid", "n"))
+        release(described)
+        long = listed.where("other is null").select("token", "sid", "n")
+        sets = self.sets(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(long.select("sid")))
+        roots = self.verified(pairs, sets)
+        release(pairs)
         if not long.isEmpty():
-            for most in ROUNDS:
-                pairs = self.again(long, roots, described, known, most)
-                if pairs.isEmpty():
-                    break
-                links, roots, more = self.verified(pairs, links)
-                known = known.unionByName(more)
-        nodes = described.select("id", "sid", "n")
+            roots, done = families.connected(long, sets, roots, self.percent), roots
+            release(done)
+        release(listed, sets)
         rooted = nodes.where("n > 0").join(roots.toDF("sid", "root"), "sid", "left").select("id", "n", F.coalesce("root", "sid").alias("root"))
         least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
         inside = rooted.join(least, "root").select("id", F.col("n").alias("n_shingles"), "component_id")
         return inside.unionByName(nodes.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
-def led(n: np.ndarray, position: np.ndarray, sid: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a long list's entries with its leaders: in each range of sizes, the entries smallest by a few hashes of
-    their set, which are the same in every list that holds them."""
-    left, right = [], []
-    a = 0
-    while a < len(n):
-        b = int(np.searchsorted(n * percent, 100 * n[a], "right"))  # sets that may link with the smallest here
-        value = sid[a:b].view(np.uint64)
-        for salt in range(LEADERS):
-            with np.errstate(over="ignore"):
-                p = a + int(np.argmin(value * np.uint64(0x9E3779B97F4A7C15 + 2 * salt) >> np.uint64(salt)))
-            j = np.arange(a, len(n))
-            j = j[(np.minimum(n[j], n[p]) * 100 >= percent * np.maximum(n[j], n[p])) & (j != p)]
-            need = needed(n[j], n[p], percent)
-            j = j[np.minimum(position[j], position[p]) + np.minimum(n[j] - position[j], n[p] - position[p]) >= need]
-            left.append(np.full(len(j), p))
-            right.append(j)
-        a = b
-    return np.concatenate(left), np.concatenate(right)
-
-
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: component_id is the smallest id reachable by links."""
     return Join(docs, percent, width, id_col, text_col).run().withColumnRenamed("id", id_col)
