@@ -46,6 +46,14 @@ def release(*tables: DataFrame) -> None:
             at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like the given one that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if counting proves it to have at most so many rows, else left to shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

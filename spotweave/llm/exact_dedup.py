@@ -7,7 +7,8 @@ counts more than one go on to byte verification: grouped by the text itself, par
 so a text that a third of all rows hold leaves each task as one row.
 
 Defined results: null counts as empty, and all empty texts are equal; of equal texts the largest doc_id stays (a null
-id only where all are null); rows repeated with one doc_id and text share one decision; empty tables give no rows.
+id only where all are null); rows repeated with one doc_id and text share one decision; empty tables give no rows;
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import small, written
+from spotweave.llm.common import fresh, release, small, written
 
 #: Fingerprints that one merged range of quotients holds, about; and those that a task gathers before it emits a filter.
 RANGE_FINGERPRINTS, TASK_FINGERPRINTS = 50_000, 2_000_000
@@ -121,18 +122,42 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     return filters.groupBy("part").applyInArrow(merge, "fp bigint")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256) of every row."""
+def _told(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    told = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("fp"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("fp"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"), text.alias("text"))
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(fp, sha, keep_id, group_size) of every text that occurs more than once."""
+    told = _told(docs, id_col, text_col)
     repeated = written(repeated_fingerprints(told.select("fp"), docs.count()))
     suspects = told.join(small(repeated), "fp", "left_semi")
     # byte verification: the text itself is a grouping key
-    groups = written(suspects.groupBy("fp", "sha", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select("fp", "sha", "keep_id", "group_size"))
+    groups = written(suspects.groupBy("fp", "sha", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1").select("fp", "sha", "keep_id", "group_size"))
+    release(repeated)
     # two different texts under one 64-bit fingerprint and one SHA-256 would make a group ambiguous: that stops the job
-    groups = groups.groupBy("fp", "sha").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
-    groups = groups.where(F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256"))).otherwise(F.lit(True))).drop("texts")
-    found = told.drop("text").join(groups, ["fp", "sha"], "left")
+    alike = groups.groupBy("fp", "sha").agg(F.count(F.lit(1)).alias("texts"))
+    if not alike.where("texts > 1").isEmpty():
+        raise ValueError("two texts share a SHA-256")
+    return groups
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, keep_id, group_size, kept, text_sha256) of every row."""
+    groups = duplicate_groups(docs, id_col, text_col)
+    found = _told(docs, id_col, text_col).drop("text").join(small(groups), ["fp", "sha"], "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
     return found.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, of equal texts one row: of those with the largest id any one.  Decided by text and id together,
+    so a row is not touched by another text under its id; a null id stays only where all ids of its text are null."""
+    sha, keep = fresh(docs, "text_sha"), fresh(docs, "keep_id")
+    groups = duplicate_groups(docs, id_col, text_col)
+    side = small(groups.select("sha", "keep_id").toDF(sha, keep))
+    keyed = docs.withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
+    alone = keyed.join(side.select(sha), sha, "left_anti")
+    chosen = keyed.join(side, sha).where(F.col(id_col).eqNullSafe(F.col(keep))).dropDuplicates([sha])
+    return alone.select(*docs.columns).unionByName(chosen.select(*docs.columns))

@@ -17,7 +17,7 @@ by its size and 64 bits of its digest, a shingle by 64 bits.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; a text with fewer words than a
 shingle has its whole sequence as one; rows repeated with one id share a component; ids that are null stay null and
-their sets still link; an empty table gives no rows.
+their sets still link; an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.llm import families
-from spotweave.llm.common import narrow_batches, release, slices, text_bytes, written
+from spotweave.llm.common import fresh, narrow_batches, release, slices, small, text_bytes, written
 from spotweave.llm.components import components
 from spotweave.llm.shingles import shingle_sets
 
@@ -145,7 +145,10 @@ class Join:
         self.spark = docs.sparkSession
         narrow_batches(self.spark)
         self.percent, self.width = percent, width
-        self.docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        struct = docs.schema[id_col].dataType.typeName() == "struct"
+        self.kind = docs.schema[id_col].dataType.simpleString() if struct else "bigint"
+        self.docs = docs.select(F.col(id_col).cast(self.kind).alias("id"), F.col(text_col).alias("text"))
+        self.held: list[DataFrame] = []
 
     def frequent(self) -> Bits:
         """Shingles in many distinct sets, counted over all texts, by 40 bits of their hash.
@@ -200,7 +203,7 @@ class Join:
                     prefix.append(ordered(s, bits)[: prefix_length(len(s), percent)].view(np.int64) if new else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sid, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "sid", "n", "sketch", "prefix"])
 
-        return written(self.docs.mapInArrow(run, "id bigint, sid bigint, n bigint, sketch binary, prefix array<bigint>"))
+        return written(self.docs.mapInArrow(run, f"id {self.kind}, sid bigint, n bigint, sketch binary, prefix array<bigint>"))
 
     def listed(self, described: DataFrame) -> DataFrame:
         """Rows (token, n, sid, other): candidate pairs (sid, other), and the entries of long lists (other null)."""
@@ -340,12 +343,26 @@ class Join:
             roots, done = families.connected(long, sets, roots, self.percent), roots
             release(done)
         release(listed, sets)
+        self.held = [nodes, roots]
         rooted = nodes.where("n > 0").join(roots.toDF("sid", "root"), "sid", "left").select("id", "n", F.coalesce("root", "sid").alias("root"))
         least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
         inside = rooted.join(least, "root").select("id", F.col("n").alias("n_shingles"), "component_id")
         return inside.unionByName(nodes.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
+def deduplicated(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, of each component the row with the smallest id (null last, ties by a digest of the text).
+    Rows are told apart by id and text together; rows repeated with both stay or go together."""
+    key = fresh(docs, "row_key")
+    digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), 1, 16)
+    number = F.col(id_col).cast("bigint")
+    keyed = docs.withColumn(key, F.struct(number.isNull().alias("none"), F.coalesce(number, F.lit(0)).alias("id"), digest.alias("digest")))
+    join = Join(keyed, percent, width, key, text_col)
+    dropped = written(join.run().where("id <> component_id").select(F.col("id").alias(key)).distinct())
+    release(*join.held)
+    return keyed.join(small(dropped), key, "left_anti").select(*docs.columns)
+
+
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: component_id is the smallest id reachable by links."""
     return Join(docs, percent, width, id_col, text_col).run().withColumnRenamed("id", id_col)

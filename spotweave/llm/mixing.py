@@ -15,12 +15,13 @@ table gives no rows.  The draw depends on ids, sizes and the seed alone, so reru
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spotweave.llm.common import written
+from spotweave.llm.common import fresh, small, written
 
 BLOCK_DOCUMENTS = 1024
 NEAR = 1e-9
@@ -104,17 +105,17 @@ def balanced_copies(docs: DataFrame, seed: int = 7) -> DataFrame:
     """(row columns, drawn 0 or 1) of every row of (id, source, size, docs, copies): the fraction of copies, drawn."""
 
     def step(last: bool):
-        def run(g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values(["id", "size"], kind="stable", na_position="last")
-            first = g.iloc[0]
-            rng = np.random.default_rng([seed, int(first["level"]), int(first["block"]), int(first["size"]), int(first["salt"]) & 0x7FFFFFFF])
+        def run(g: pa.Table) -> pa.Table:
+            g = g.take(pc.sort_indices(g, [("id", "ascending"), ("size", "ascending")], null_placement="at_end"))
+            first = {c: g.column(c)[0].as_py() for c in ("level", "block", "size", "salt")}
+            rng = np.random.default_rng([seed, first["level"], first["block"], first["size"], first["salt"] & 0x7FFFFFFF])
             order = rng.permutation(len(g))
-            p, size = g["p"].to_numpy()[order], g["size"].to_numpy()[order].astype(float)
+            p, size = g.column("p").to_numpy()[order], g.column("size").to_numpy()[order].astype(float)
             p = flight(p, np.vstack([size, np.ones(len(size))]), rng)
             p = landing(p, size, rng) if last else p
             out = np.empty(len(p))
             out[order] = p
-            return g.assign(p=out)
+            return g.set_column(g.column_names.index("p"), "p", pa.array(out))
 
         return run
 
@@ -125,7 +126,7 @@ def balanced_copies(docs: DataFrame, seed: int = 7) -> DataFrame:
     while True:
         state = state.withColumn("block", F.pmod(F.xxhash64("id", "size", F.lit(seed), "level"), blocks(F.col("units"))).cast("bigint"))
         last = most <= BLOCK_DOCUMENTS
-        flown = written(state.groupBy("source", "block").applyInPandas(step(last), state.schema))
+        flown = written(state.groupBy("source", "block").applyInArrow(step(last), state.schema))
         settled = flown.where("p <= 0 or p >= 1")
         done = settled if done is None else done.unionByName(settled)
         if last:
@@ -140,7 +141,24 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     sizes = docs.select(F.col(id_col).alias("id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"))
     sizes = written(sizes)
     plan = written(targets(sizes, weights, most))
-    planned = sizes.join(F.broadcast(plan) if plan.count() <= 100_000 else plan, sizes["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    planned = sizes.join(small(plan, 100_000), sizes["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     drawn = balanced_copies(planned, seed)
     copies = (F.floor("copies") + F.col("drawn")).cast("bigint")
     return drawn.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies_taken"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it.  Rows are told apart by id, source and text together; of rows
+    repeated with all three, each draws for itself."""
+    key, number, copies, each = (fresh(docs, c) for c in ("row_key", "row_number", "row_copies", "row_each"))
+    parts = [F.concat(F.when(c.isNull(), F.lit("n")).otherwise(F.lit("v")), F.coalesce(c.cast("string"), F.lit(""))) for c in (F.col(id_col), F.col("source"), F.col(text_col))]
+    keyed = docs.withColumn(key, F.substring(F.unhex(F.sha2(F.concat_ws("\x00", *parts), 256)), 1, 16))
+    drawn = mix_sources(keyed.select(key, "source", F.col(text_col).alias("text")), weights, most, key, seed)
+    same = Window.partitionBy(key)
+    drawn = written(drawn.select(key, F.col("copies_taken").alias(copies), F.row_number().over(same.orderBy(F.desc("copies_taken"))).alias(number), F.count(F.lit(1)).over(same).alias("rows")))
+    out = keyed.join(small(drawn.where(f"rows = 1 and {copies} > 0").select(key, copies)), key)
+    several = drawn.where("rows > 1").drop("rows")
+    if not several.isEmpty():
+        some = keyed.join(small(several.select(key).distinct()), key, "left_semi").withColumn(number, F.row_number().over(same.orderBy(F.lit(0))))
+        out = out.unionByName(some.join(small(several.where(f"{copies} > 0")), [key, number]).drop(number))
+    return out.withColumn(each, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies)))).select(*docs.columns)

@@ -9,8 +9,10 @@ log-likelihoods divided by its number of words, put through a logistic curve tha
 by models which have not seen them (two halves, crossed).
 
 All labelled training rows are counted, by word and then by character n-gram, and every n-gram and continuation count
-is kept, in distributed tables.  Ratios of the COMMON_WORDS commonest training words travel to the texts; all other
-words of a text meet their ratios in a join.  The curve is fitted on at most about CURVE_ROWS labelled rows.
+is kept, in distributed tables.  Ratios of the COMMON_GRAMS commonest n-grams and contexts travel to the texts, with a
+bitmap of bounded size that tells which others exist; a word all of whose n-grams are shipped or were never seen is told
+where its text is read, any other word meets its n-grams' ratios in a join.  What is shipped changes no score.  The
+curve is fitted on at most about CURVE_ROWS labelled rows.
 
 Defined results: null and empty texts have no words and get the curve's value at zero, the score of a text that tells
 nothing; a label that is null is no label; several labels of one document count as toxic if one is; without training
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -29,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import narrow_batches, small, written
+from spotweave.llm.common import fresh, narrow_batches, release, small, written
+from spotweave.llm.jaccard_join import Bits
 
 ORDER, DISCOUNT = 6, 0.75
 SHARES = (0.05, 0.02, 0.01, 0.005, 0.002)
-CURVE_ROWS, TASK_WORDS, COMMON_WORDS = 20_000, 400_000, 300_000
+CURVE_ROWS, TASK_WORDS, COMMON_GRAMS, GRAM_BITS = 20_000, 400_000, 300_000, 27
 PAD, END = "\x02", "\x03"
 WORD = re.compile(r"\w+")
 
@@ -61,7 +65,9 @@ def backoff(inventory: DataFrame) -> DataFrame:
         else:
             rows = rows.withColumn("part", F.expr("substring(piece, 2)")).join(out.toDF("part", "shared"), "part")
         out = rows.select("piece", ((F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("shared")) / F.col("total")).alias("p"))
-    return written(out)
+    out = written(out)
+    release(*levels)
+    return out
 
 
 #: Counts of a class and n-gram by column of ratios: of all rows, and of those outside either half.
@@ -83,8 +89,11 @@ def ratio_tables(by_gram: DataFrame) -> tuple[DataFrame, DataFrame]:
     def left(c: str) -> Column:
         return F.when(F.col(f"total_{c}") > 0, DISCOUNT * F.col(f"kinds_{c}") / F.col(f"total_{c}")).otherwise(1.0)
 
-    grams_of = rows.join(of, "context").join(backoff(by_gram), "piece").select("gram", *(F.log(seen(f"{r}_1") / seen(f"{r}_0")).alias(r) for r in CELLS))
-    return written(grams_of), written(of.select("context", *(F.log(left(f"{r}_1") / left(f"{r}_0")).alias(r) for r in CELLS)))
+    shared, times = backoff(by_gram), lambda r: F.expr(f"{r}_0 + {r}_1").alias("times")
+    grams_of = rows.join(of, "context").join(shared, "piece").select("gram", *(F.log(seen(f"{r}_1") / seen(f"{r}_0")).alias(r) for r in CELLS), times("r"))
+    out = written(grams_of), written(of.select("context", *(F.log(left(f"{r}_1") / left(f"{r}_0")).alias(r) for r in CELLS), times("total_r")))
+    release(of, shared)
+    return out
 
 
 def word_ratios(words: DataFrame, tables: tuple[DataFrame, DataFrame], *names: str) -> DataFrame:
@@ -108,24 +117,99 @@ def mixture(ratio: Column, share: float) -> Column:
     return F.log1p(F.lit(share) * F.expm1(F.least(ratio, F.lit(100.0))))
 
 
-def told_words(rows: DataFrame, common: dict[str, float]) -> DataFrame:
-    """(key, n, base, rest) of rows (key, text): the number of words, the sum of the common ones' ratios, the others."""
-    shipped = rows.sparkSession.sparkContext.broadcast(common)
+class Shipped:
+    """Ratios of the commonest n-grams and contexts, and a bitmap of the others: picklable arrays, dictionaries where used."""
+
+    def __init__(self, tables: tuple[DataFrame, DataFrame]):
+        self.arrays, rest, spent = [], [], []
+        for df in tables:
+            name = df.columns[0]
+            usual = written(df.orderBy(F.desc("times"), name).limit(COMMON_GRAMS))
+            got = usual.drop("times").toArrow()
+            self.arrays.append((got.column(name).combine_chunks(), np.column_stack([got.column(r).to_numpy() for r in CELLS])))
+            if got.num_rows == COMMON_GRAMS:
+                rest.append(df.join(usual.select(name), name, "left_anti").select(F.crc32(F.col(name).cast("binary")).alias("h")))
+            spent.append(usual)
+        self.bits, self.words = 0, None
+        if rest:
+            others = rest[0] if len(rest) == 1 else rest[0].union(rest[1])
+            self.bits = max(16, min(GRAM_BITS, math.ceil(math.log2(16 * max(1, others.count())))))
+            self.words = Bits.of(others, self.bits).words
+        release(*spent)
+
+    def use(self, cells: list[str]):
+        """word -> its ratios by cell, or None if a join must tell them."""
+        at = [list(CELLS).index(c) for c in cells]
+        gram, context = (dict(zip(names.to_pylist(), values[:, at].tolist(), strict=True)) for names, values in self.arrays)
+        bitmap, mask, none = (b"", 0, [0.0] * len(at)) if self.words is None else (self.words.tobytes(), (1 << self.bits) - 1, [0.0] * len(at))
+
+        def elsewhere(piece: str) -> bool:
+            if not bitmap:
+                return False
+            h = zlib.crc32(piece.encode()) & mask
+            return bitmap[h >> 3] >> (h & 7) & 1 > 0
+
+        def ratios(word: str) -> list[float] | None:
+            out = none
+            for g in grams(word):
+                got = gram.get(g)
+                if got is None:
+                    if elsewhere(g):
+                        return None
+                    got = context.get(g[:-1])
+                    if got is None:
+                        if elsewhere(g[:-1]):
+                            return None
+                        continue
+                out = [x + y for x, y in zip(out, got, strict=True)]
+            return out
+
+        return ratios
+
+
+def told_words(rows: DataFrame, shipped: Shipped, cells: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """(key, cell, n, base, rest) of rows (key, cell, text): the number of words, for every share the sum of the mixture's
+    log-likelihood ratios over the words told here, by the cell's counts; and the other words."""
+    sent = rows.sparkSession.sparkContext.broadcast(shipped)
+    share = np.array(shares)[:, None]
 
     def run(batches):
-        held = shipped.value
+        ratios, memo = sent.value.use(cells), {}
         for b in batches:
+            if len(memo) > TASK_WORDS:
+                memo.clear()
             n, base, rest = [], [], []
-            for text in b.column(1).to_pylist():
+            for cell, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = Counter(WORD.findall((text or "").lower()))
                 n.append(words.total())
-                base.append(sum(held[w] * k for w, k in words.items() if w in held))
-                rest.append([{"word": w, "times": k} for w, k in words.items() if w not in held])
+                times, told, left = [], [], []
+                for w, k in words.items():
+                    if w not in memo:
+                        memo[w] = ratios(w)
+                    r = memo[w]
+                    if r is None:
+                        left.append({"word": w, "times": k})
+                    else:
+                        times.append(k)
+                        told.append(r[cell])
+                sums = np.log1p(share * np.expm1(np.minimum(np.array(told), 100.0))) @ np.array(times, float) if told else np.zeros(len(shares))
+                base.append(sums.tolist())
+                rest.append(left)
             kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(base, pa.float64()), pa.array(rest, kind)], names=["key", "n", "base", "rest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(base, pa.list_(pa.float64())), pa.array(rest, kind)], names=["key", "cell", "n", "base", "rest"])
 
     key = rows.schema["key"].dataType.simpleString()
-    return written(rows.select("key", "text").mapInArrow(run, f"key {key}, n bigint, base double, rest array<struct<word:string,times:bigint>>"))
+    return written(rows.select("key", "cell", "text").mapInArrow(run, f"key {key}, cell int, n bigint, base array<double>, rest array<struct<word:string,times:bigint>>"))
+
+
+def whole(told: DataFrame, tables: tuple[DataFrame, DataFrame], cells: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """(key, mean) of told rows, one a key: for every share the mean log-likelihood ratio over all words, 0 without words."""
+    tokens = told.select("key", "cell", F.explode("rest").alias("w")).select("key", "cell", "w.word", "w.times")
+    ratio = F.element_at(F.array(*cells), F.col("cell") + 1)
+    found = tokens.join(word_ratios(tokens.select("word").distinct(), tables, *cells), "word")
+    more = found.groupBy("key").agg(F.array(*(F.sum(F.col("times") * mixture(ratio, s)) for s in shares)).alias("more"))
+    sums = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.zip_with("base", "more", lambda x, y: x + y))
+    return told.join(more, "key", "left").select("key", F.transform(sums, lambda v: F.when(F.col("n") > 0, v / F.col("n")).otherwise(0.0)).alias("mean"))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -150,10 +234,10 @@ def held_out(id_col: Column) -> Column:
 
 
 class ToxicityModel:
-    """The fitted ratios, as tables, and the curve; `common` has the commonest words' ratios."""
+    """The fitted ratios, as tables and as what is shipped of them, and the curve."""
 
-    def __init__(self, tables: tuple[DataFrame, DataFrame] | None, share: float, slope: float, intercept: float, common: dict[str, float] | None = None):
-        self.tables, self.share, self.slope, self.intercept, self.common = tables, share, slope, intercept, common or {}
+    def __init__(self, tables: tuple[DataFrame, DataFrame] | None, share: float, slope: float, intercept: float, shipped: Shipped | None = None):
+        self.tables, self.share, self.slope, self.intercept, self.shipped = tables, share, slope, intercept, shipped
 
     def score(self, text: str | None) -> float:
         if self.tables is None:
@@ -203,43 +287,61 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     by_word = written(by_word.groupBy("word").agg(*[F.sum(F.when(F.col("cell") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(4)]))
     by_gram = by_word.mapInArrow(pieces, "gram string, c0 bigint, c1 bigint, c2 bigint, c3 bigint").groupBy("gram").agg(*sums())
     by_gram = written(by_gram)
+    release(by_word)
     total = by_gram.agg(F.sum(F.expr("c0 + c1")), F.sum(F.expr("c2 + c3"))).first()
     if not total[0] or not total[1]:
         return ToxicityModel(None, 0.0, 0.0, 0.0)
     tables = ratio_tables(by_gram)
+    release(by_gram)
+    shipped = Shipped(tables)
 
     rows = told.count()
     part = train.where(F.pmod(F.xxhash64("id", F.lit(12)), F.lit(max(1, -(-rows // CURVE_ROWS)))) == 0)
-    part = part.select("toxic", "half", "text").withColumn("key", F.struct(F.monotonically_increasing_id().alias("row"), "toxic", "half"))
-    sample = told_words(part, {})
-    tokens = sample.select("key", "n", F.explode("rest").alias("w")).select("key", "n", "w.word", "w.times")
-    # cell = 2 * toxic + half: a half's texts are scored by the other half's counts
-    ratio = F.when(F.col("key.half") == 0, F.col("r0")).otherwise(F.col("r1"))
-    x = [F.sum(F.col("times") * mixture(ratio, s) / F.col("n")) for s in SHARES]
-    sums = tokens.join(word_ratios(tokens.select("word").distinct(), tables, "r0", "r1"), "word").groupBy("key.row").agg(F.array(*x).alias("x"))
-    points = sample.select("key.row", "key.toxic").join(sums, "row", "left").select("toxic", F.coalesce("x", F.array(*[F.lit(0.0)] * len(SHARES))).alias("x")).toArrow()
+    # a half's texts are scored by the other half's counts
+    part = part.select(F.struct(F.monotonically_increasing_id().alias("row"), "toxic").alias("key"), F.col("half").alias("cell"), "text")
+    sample = told_words(part, shipped, ["r0", "r1"], SHARES)
+    points = whole(sample, tables, ["r0", "r1"], SHARES).select("key.toxic", F.col("mean").alias("x")).toArrow()
+    release(sample)
     y = points.column("toxic").to_numpy().astype(float)
     x = np.array(points.column("x").to_pylist(), float).reshape(len(y), len(SHARES))
     curves = [fit_curve(x[:, k], y) for k in range(len(SHARES))]
     loss = [float(np.logaddexp(0, np.where(y > 0, -1, 1) * (a * x[:, k] + b)).sum()) for k, (a, b) in enumerate(curves)]
     best = int(np.argmin(loss))
-    usual = by_word.orderBy(F.desc(F.expr("c0 + c1 + c2 + c3")), "word").limit(COMMON_WORDS).select("word")
-    common = word_ratios(usual, tables, "r").select("word", mixture(F.col("r"), SHARES[best]).alias("r")).toArrow().to_pydict()
-    return ToxicityModel(tables, SHARES[best], *curves[best], dict(zip(common["word"], common["r"], strict=True)))
+    return ToxicityModel(tables, SHARES[best], *curves[best], shipped)
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with `score`, by the text alone."""
+    """The rows of docs with `score`, by the text alone (a column `score` of theirs is replaced)."""
     narrow_batches(docs.sparkSession)
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "score"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "score"))
     if model.tables is None:
         return rows.withColumn("score", F.lit(model.score(None)))
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    told = told_words(rows.select(digest.alias("key"), F.col(text_col).alias("text")), model.common).dropDuplicates(["key"])
-    tokens = told.select("key", F.explode("rest").alias("w")).select("key", "w.word", "w.times")
-    found = word_ratios(tokens.select("word").distinct(), model.tables, "r").select("word", mixture(F.col("r"), model.share).alias("r"))
-    sums = tokens.join(found, "word").groupBy("key").agg(F.sum(F.col("r") * F.col("times")).alias("more"))
-    mean = F.when(F.col("n") > 0, (F.col("base") + F.coalesce("more", F.lit(0.0))) / F.col("n")).otherwise(0.0)
-    power = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), model.slope * mean + model.intercept))
-    scores = written(told.select("key", "n", "base").join(sums, "key", "left").select(F.col("key").alias("text_digest"), (1 / (1 + F.exp(-power))).alias("score")))
-    return rows.withColumn("text_digest", digest).join(small(scores), "text_digest").drop("text_digest")
+    key = fresh(rows, "text_digest")
+    scores = text_scores(rows.select(F.col(text_col).alias("text")), model).toDF(key, "score")
+    return rows.withColumn(key, text_digest(F.col(text_col))).join(small(scores), key).drop(key)
+
+
+def tolerated(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score below 0.5."""
+    if model.tables is None:
+        return docs
+    narrow_batches(docs.sparkSession)
+    key = fresh(docs, "text_digest")
+    scores = text_scores(docs.select(F.col(text_col).alias("text")), model)
+    rejected = written(scores.where("score >= 0.5").select(F.col("key").alias(key)))
+    release(scores)
+    return docs.withColumn(key, text_digest(F.col(text_col))).join(small(rejected), key, "left_anti").select(*docs.columns)
+
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def text_scores(texts: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(key, score) of every distinct text, by its digest; `texts` has one column, and the model was fitted."""
+    told = told_words(texts.select(text_digest(F.col("text")).alias("key"), F.lit(0).alias("cell"), "text"), model.shipped, ["r"], (model.share,))
+    mean = whole(told.dropDuplicates(["key"]), model.tables, ["r"], (model.share,))
+    power = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), model.slope * F.col("mean")[0] + model.intercept))
+    out = written(mean.select("key", (1 / (1 + F.exp(-power))).alias("score")))
+    release(told)
+    return out

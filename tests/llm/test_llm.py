@@ -191,6 +191,7 @@ def test_toxicity_keeps_every_gram(spark, monkeypatch):
     whole = scores()
     monkeypatch.setattr(toxicity, "MODEL_GRAMS", 20, raising=False)
     monkeypatch.setattr(toxicity, "COMMON_WORDS", 3, raising=False)
+    monkeypatch.setattr(toxicity, "COMMON_GRAMS", 3)
     assert scores() == pytest.approx(whole)
     assert min(whole[k] for k in range(1, 60, 2)) > max(whole[k] for k in range(0, 60, 2))
 
