@@ -1,8 +1,8 @@
 """A pipeline from raw documents to training tokens: STAGES, each written as Parquet and reread as the next one's input.
 
 toxicity, exact dedup, near dedup by n-gram Jaccard, mixing sources to target weights, BPE encoding.  All stages but the
-last return the columns of `documents`; decisions, which are narrow rows, travel to the texts and not the reverse while
-a count shows them small.
+last return the columns of `documents`, whatever further columns there are and whatever their names; decisions, which
+are narrow rows, travel to the texts and not the reverse while a count shows them small.
 """
 
 from __future__ import annotations
@@ -13,59 +13,63 @@ from collections.abc import Callable
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spotweave.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
-from spotweave.llm.common import narrow_batches, small, written
+from spotweave.llm.common import narrow_batches, release, written
 from spotweave.session import prepare, table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents but those of the given ids."""
-    return docs.join(small(written(dropped.select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on the labelled ones, does not reject."""
+    """Documents that the toxicity model, fitted on the labelled ones, does not reject.
+
+    Decided by the text: equal texts stay or go together; null and empty texts count as texts without words, which tell
+    nothing; ids play no part but to find labels; an empty table, or one without labels of both kinds, loses nothing.
+    """
     model = toxicity.fit(docs, table(prepare(spark), sf_dir, "labels"))
-    return toxicity.toxicity_scores(docs, model).where("score < 0.5").select(*docs.columns)
+    return toxicity.tolerated(docs, model)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id; rows repeated with one id and text become one."""
-    found = written(exact_dedup.exact_duplicates(docs))
-    out = _without(docs, found.where("not kept"))
-    twice = written(found.where("kept and group_size > 1 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if twice.isEmpty():
-        return out
-    again = out.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return _without(out, twice).unionByName(again)
+    """Of equal texts the document with the largest id.
+
+    Null counts as empty, and all empty texts are equal; other texts under the same id are not touched; a null id stays
+    only where no other id has its text; of rows repeated with id and text one stays; an empty table stays empty.
+    """
+    prepare(spark)
+    return exact_dedup.deduplicated(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id."""
-    found = jaccard_join.jaccard_components(docs, 80, 5)
-    return _without(docs, found.where("doc_id <> component_id"))
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id, null last.
+
+    Null and empty texts are in no group and stay; a text of fewer than five words has all its words as one shingle;
+    other texts under the same id are not touched; rows repeated with id and text stay or go together.
+    """
+    prepare(spark)
+    return jaccard_join.deduplicated(docs, 80, 5)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix_sources(docs).where("copies_taken > 0").select("doc_id", "copies_taken").distinct()
-    chosen = docs.join(small(written(copies)), "doc_id")
-    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies_taken")))).select(*docs.columns)
+    """Each document as often as the mix takes it.
+
+    Null sources are a source of their own; texts without words have size 0 and count by the number of documents only;
+    null and repeated ids draw like others, repeated rows each for themselves; an empty table stays empty.
+    """
+    prepare(spark)
+    return mixing.mixed(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids, decoded_sha256) of every document of the mix."""
+    """(doc_id, source, n_tokens, ids, decoded_sha256) of every document of the mix; null and empty texts have no ids."""
     narrow_batches(prepare(spark))
     path = public_tokenizers.path(WORD_BPE)
 
     def run(batches):
         for b in batches:
             codec, _, _ = bpe.loaded(path)
-            ids = [codec.encode(t.as_py()) for t in b.column(2)]
+            ids = [codec.encode(t.as_py() or "") for t in b.column(2)]
             decoded = [hashlib.sha256(codec.decode(i).encode()).hexdigest() for i in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded)], names=["doc_id", "source", "n_tokens", "ids", "decoded_sha256"])
 
@@ -88,6 +92,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = table(prepare(spark), sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = written(docs) if k < len(STAGES) - 1 else docs
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
+            release(before)
     return docs
