@@ -7,34 +7,33 @@ of a band are candidates (at 0.8 a pair is missed with probability 0.6 percent);
 verified pairs and equal lines form components by distributed union-find, and of a component the first line, by
 (doc_id, line number), stays.  Lines that are empty or blank are never removed.
 
-A task emits the bands of each distinct line once, however often it holds it.  A band that more than ALL_PAIRS lines
-share gives pairs with a few leaders and neighbours first; then its lines in different components are paired by number
-of shingles and parity sketch, which bound |x ^ y| from below, in ROUNDS of which the last leaves no pair out.
+A task emits the bands of each distinct line once, however often it holds it.  A band that at most ALL_PAIRS lines share
+gives all their pairs; a longer one gives its lines to groups under leaders (`families`), which find all links among them
+that connect anything, by 64-bit shingle hashes, without listing pairs.  No candidate is left out.
 
 Defined results: null and empty texts have no lines to remove; rows repeated with one doc_id count their lines under the
-same numbers and stay or go together; a null doc_id comes first; an empty table gives no rows.
+same numbers and stay or go together; a null doc_id comes first; an empty table gives no rows; other columns may have
+any names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import keys, mix, narrow_batches, small, written
+from spotweave.llm import families
+from spotweave.llm.common import fresh, keys, mix, narrow_batches, release, small, written
 from spotweave.llm.components import components
-from spotweave.llm.jaccard_join import Bits, folded, parity_sketch
+from spotweave.llm.jaccard_join import Bits
 
 CHARS, SIMILARITY, BANDS, ROWS = 8, 0.8, 10, 4
-ALL_PAIRS, LEADERS = 16, 3
-#: Nearest lines that each line of a long band is paired with, by round; None: all.
-ROUNDS = (4, 64, None)
-#: Lines of a long band that a task pairs with as many others; lines and bytes of sketches compared at once.
-CHUNK, BLOCK, SKETCH_BYTES = 2048, 64, 1 << 22
+#: Lines of a band that gives all its pairs.
+ALL_PAIRS = 16
 #: Characters whose shingles are hashed at once: the arrays stay in the processor's cache.
 SLICE_CHARS = 1 << 16
 
@@ -85,11 +84,10 @@ def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return row, mix(value)
 
 
-def described(lines: list[str]) -> tuple[list[int], list[bytes]]:
-    """The number of distinct shingles and the parity sketch of every line."""
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingles of every line, as ascending hashes."""
     row, value = hashed(lines)
-    sets = [np.unique(v) for v in np.split(value, np.searchsorted(row, np.arange(1, len(lines))))]
-    return [len(v) for v in sets], [parity_sketch(v) for v in sets]
+    return [np.unique(v) for v in np.split(value, np.searchsorted(row, np.arange(1, len(lines))))]
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -157,14 +155,10 @@ def line_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def candidates(occurrences: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines that share a band, band null: all of a short one, a few of a long one; and the lines a of
-    every long band, b null."""
+    """Pairs (a, b) of lines that share a short band, band null; and the lines a of every long band, b null."""
     postings = occurrences.where("bands is not null").select(F.explode("bands").alias("band"), "line").repartition("band").sortWithinPartitions("band", "line")
 
     def pairs(band: np.ndarray, line: np.ndarray):
-        keep = np.ones(len(band), bool)
-        keep[1:] = (band[1:] != band[:-1]) | (line[1:] != line[:-1])
-        band, line = band[keep], line[keep]
         if not len(band):
             return
         new = np.concatenate([[True], band[1:] != band[:-1]])
@@ -172,36 +166,50 @@ def candidates(occurrences: DataFrame) -> DataFrame:
         size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
         rank = np.arange(len(band)) - first
         out = []
-        for back in range(1, min(ALL_PAIRS, int(size.max()))):  # all pairs of short runs, neighbours of long ones
-            k = np.flatnonzero((rank >= back) & ((size <= ALL_PAIRS) | (back <= LEADERS)))
+        for back in range(1, min(ALL_PAIRS, int(size.max()))):
+            k = np.flatnonzero((rank >= back) & (size <= ALL_PAIRS))
             out.append(np.column_stack([line[k - back], line[k]]))
-        for lead in range(LEADERS):
-            k = np.flatnonzero((size > ALL_PAIRS) & (rank > lead))
-            out.append(np.column_stack([line[first[k] + lead], line[k]]))
         if out and len(got := np.unique(np.concatenate(out), axis=0)):
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy()), pa.nulls(len(got), pa.int64())], names=names)
         if len(k := np.flatnonzero(size > ALL_PAIRS)):
-            yield pa.RecordBatch.from_arrays([pa.array(line[k]), pa.nulls(len(k), pa.int64()), pa.array(band[k])], names=names)
+            yield entries(band[k], line[k])
+
+    def entries(band: np.ndarray, line: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(line), pa.nulls(len(line), pa.int64()), pa.array(band)], names=names)
 
     names = ["a", "b", "band"]
 
     def run(batches):
-        band, line = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches:
-            band, line = np.append(band, b.column(0).to_numpy()), np.append(line, b.column(1).to_numpy())
-            end = int(np.searchsorted(band, band[-1], "left"))
+        band, line, open_band = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                band, line = np.append(band, b.column(0).to_numpy()), np.append(line, b.column(1).to_numpy())
+            if not len(band):
+                continue
+            keep = np.ones(len(band), bool)
+            keep[1:] = (band[1:] != band[:-1]) | (line[1:] != line[:-1])
+            band, line = band[keep], line[keep]
+            more = 0 if open_band is None else int(np.searchsorted(band, open_band, "right"))  # a band known to be long goes through
+            if more:
+                yield entries(band[:more], line[:more])
+            band, line = band[more:], line[more:]
+            end = len(band) if b is None or not len(band) else int(np.searchsorted(band, band[-1], "left"))
             yield from pairs(band[:end], line[:end])
             band, line = band[end:], line[end:]
-        yield from pairs(band, line)
+            if len(band) > ALL_PAIRS:
+                open_band = band[0]
+                yield entries(band, line)
+                band, line = band[:0], line[:0]
 
     return written(postings.mapInArrow(run, "a bigint, b bigint, band bigint").distinct())
 
 
-def line_texts(docs: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(line, text) of the lines in the pairs, and a few more: a bitmap of bounded size chooses them where texts are read."""
-    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+def line_texts(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(line, text) of the wanted lines, and a few more: a bitmap of bounded size chooses them where texts are read."""
+    wanted = written(wanted.distinct())
     bits = max(16, min(27, int(np.ceil(np.log2(16 * max(1, wanted.count()))))))
     chosen = docs.sparkSession.sparkContext.broadcast(Bits.of(wanted, bits).words)
+    release(wanted)
 
     def run(batches):
         bitmap, seen = Bits(bits, chosen.value), set()
@@ -237,102 +245,25 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def mixed(long: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, line, root) of the long bands whose lines are not all connected yet."""
-    rows = long.join(roots.toDF("line", "root"), "line", "left").select("band", "line", F.coalesce("root", "line").alias("root"))
-    open_bands = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    return rows.join(open_bands, "band", "left_semi")
-
-
-def again(rows: DataFrame, sketches: DataFrame, most: int | None) -> DataFrame:
-    """Pairs of a long band's lines between components that sizes and sketches allow, of each line the `most` nearest.
-
-    A cell holds the lines of one class of sizes, whose pairs it gives, and of the next one, whose pairs with the former
-    it gives; lines that may be similar are in one class or in neighbours.  A cell of many lines is dealt over tasks."""
-    rows = rows.join(sketches, "line").withColumn("class", F.floor(F.log("n") / math.log(1.01 / SIMILARITY)))
-    cell = F.explode(F.array(F.struct(F.col("class").alias("size_class"), F.lit(True).alias("home")), F.struct((F.col("class") - 1).alias("size_class"), F.lit(False).alias("home"))))
-    rows = rows.withColumn("cell", cell).select("band", "line", "root", "n", "sketch", "cell.size_class", "cell.home")
-    counts = rows.groupBy("band", "size_class").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"), F.max("home").alias("any_home")).where("any_home").drop("any_home")
-    rows = rows.join(counts, ["band", "size_class"]).withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    at = ["band", "size_class", "low", "high"]
-    rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-    rows = rows.select(*at, "line", "root", "n", "part", "home", "sketch").repartition(*at).sortWithinPartitions(*at, "n", "line")
-
-    def run(batches):
-        held: list[dict] = []
-        for b in batches:
-            for r in b.to_pylist():
-                if held and any(held[-1][c] != r[c] for c in at):
-                    yield from one(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield from one(held)
-
-    def one(rows: list[dict]):
-        line, root, n, part = (np.array([r[c] for r in rows], np.int64) for c in ("line", "root", "n", "part"))
-        home = np.array([r["home"] for r in rows])
-        size = min(len(r["sketch"]) for r in rows)
-        sketch = np.array([folded(np.frombuffer(r["sketch"], np.uint8), size) for r in rows])
-        across, step, found = rows[0]["low"] != rows[0]["high"], max(1, SKETCH_BYTES // size), []
-        for a in range(0, len(rows), BLOCK):
-            b = min(a + BLOCK, len(rows))
-            top = int(np.searchsorted(n * SIMILARITY - 1e-9, n[b - 1], "right"))  # later lines are too long for the block
-            i, j = np.meshgrid(np.arange(a, b), np.arange(a, top), indexing="ij")
-            fine = (i < j) & (root[i] != root[j]) & (home[i] | home[j]) & ((part[i] != part[j]) == across)
-            i, j = i[fine], j[fine]
-            room = np.floor((n[i] + n[j]) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9)
-            for c in range(0, len(i), step):
-                x, y, r = i[c : c + step], j[c : c + step], room[c : c + step]
-                far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
-                found.append(np.column_stack([x, y, far])[far <= r])
-        got = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        if most is not None and len(got):
-            keep = np.zeros(len(got), bool)
-            for end in (0, 1):
-                order = np.lexsort((got[:, 2], got[:, end]))
-                of = got[order, end]
-                first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                rank = np.arange(len(got)) - np.repeat(first, np.diff(np.append(first, len(got))))
-                keep[order[rank < most]] = True
-            got = got[keep]
-        if len(got):
-            x, y = line[got[:, 0]], line[got[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
 def connected(docs: DataFrame, occurrences: DataFrame, text_col: str) -> DataFrame:
     """(line, root) of all lines that similar pairs sharing a band connect to a smaller one."""
     found = candidates(occurrences)
     pairs, long = found.where("b is not null").select("a", "b"), found.where("b is null").select("band", F.col("a").alias("line"))
-    roots = written(components(linked(pairs, line_texts(docs, pairs, text_col))))
-    rows = written(mixed(long, roots))
-    if rows.isEmpty():
-        return roots
-    texts = line_texts(docs, rows.select(F.col("line").alias("a"), F.col("line").alias("b")), text_col)
-
-    def describe(batches):
-        for t in batches:
-            n, sketch = described(t.column(1).to_pylist()) if t.num_rows else ([], [])
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], names=["line", "n", "sketch"])
-
-    sketches = written(texts.mapInArrow(describe, "line bigint, n bigint, sketch binary"))
-    # candidates come in any order of their ends here and there
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for most in ROUNDS:
-        new = written(again(rows, sketches, most).join(tried, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            if most is None:
-                break
-            continue
-        roots = written(components(roots.toDF("a", "b").unionByName(linked(new, texts))))
-        tried = tried.unionByName(new)
-        rows = written(mixed(rows.select("band", "line"), roots))
-        if rows.isEmpty():
-            break
+    texts = line_texts(docs, found.select(F.col("a").alias("line")).union(pairs.select("b")), text_col)
+    roots = components(linked(pairs, texts))
+    if not long.isEmpty():
+
+        def describe(batches):
+            for t in batches:
+                each = shingle_sets(t.column(1).to_pylist()) if t.num_rows else []
+                yield pa.RecordBatch.from_arrays([t.column(0), pa.array([len(x) for x in each], pa.int64()), pa.array([x.tobytes() for x in each], pa.binary())], names=["sid", "n", "set"])
+
+        sets = written(texts.join(long.select("line").distinct(), "line", "left_semi").mapInArrow(describe, "sid bigint, n bigint, set binary"))
+        entries = long.toDF("token", "sid").join(sets.select("sid", "n"), "sid")
+        percent = round(100 * SIMILARITY)
+        roots, done = families.connected(entries, sets.select("sid", "set"), roots, percent), roots
+        release(done, sets)
+    release(found, texts)
     return roots
 
 
@@ -342,6 +273,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = connected(docs, occurrences, text_col)
     lines = occurrences.select("id", "line_no", "line").join(small(roots.toDF("line", "root")), "line", "left").select("id", "line_no", F.coalesce("root", "line").alias("root"))
     lines = written(lines)
+    release(occurrences, roots)
     firsts = lines.groupBy("root").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "first")
     told = lines.join(firsts, "root", "left")
     kept = F.col("first").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no")))
@@ -350,7 +282,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_removed, removed) of every document: numbers of all lines, and of those to remove, from 0."""
-    gone = removed_lines(docs, id_col, text_col).where("not kept").groupBy(F.col(id_col).alias("gone_id")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    gone = removed_lines(docs.select(id_col, text_col), id_col, text_col).where("not kept").groupBy(F.col(id_col).alias("gone_id")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     sizes = docs.select(F.col(id_col), F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).cast("bigint").alias("n_lines"))
     out = sizes.join(gone, sizes[id_col].eqNullSafe(gone["gone_id"]), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
@@ -359,8 +291,9 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, their texts without the removed lines."""
-    report = line_report(docs, id_col, text_col).where("n_removed > 0").select(F.col(id_col).alias("gone_id"), "removed").distinct()
-    joined = docs.join(report, docs[id_col].eqNullSafe(report["gone_id"]), "left")
+    gone_id, removed = fresh(docs, "gone_id"), fresh(docs, "removed")
+    report = line_report(docs, id_col, text_col).where("n_removed > 0").select(F.col(id_col).alias(gone_id), F.col("removed").alias(removed)).distinct()
+    joined = docs.join(report, docs[id_col].eqNullSafe(report[gone_id]), "left")
     lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda s, n: ~F.array_contains("removed", n)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    kept = F.array_join(F.filter(lines, lambda s, n: ~F.array_contains(removed, n)), "\n")
+    return joined.withColumn(text_col, F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)

@@ -26,6 +26,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -137,64 +138,87 @@ class Shipped:
             self.words = Bits.of(others, self.bits).words
         release(*spent)
 
-    def use(self, cells: list[str]):
-        """word -> its ratios by cell, or None if a join must tell them."""
-        at = [list(CELLS).index(c) for c in cells]
+    def use(self, cell: str) -> Callable[[str], float]:
+        """word -> its ratio by the cell's counts, or nan if a join must tell it."""
+        at = list(CELLS).index(cell)
         gram, context = (dict(zip(names.to_pylist(), values[:, at].tolist(), strict=True)) for names, values in self.arrays)
-        bitmap, mask, none = (b"", 0, [0.0] * len(at)) if self.words is None else (self.words.tobytes(), (1 << self.bits) - 1, [0.0] * len(at))
+        bitmap, mask = (b"", 0) if self.words is None else (self.words.tobytes(), (1 << self.bits) - 1)
 
         def elsewhere(piece: str) -> bool:
-            if not bitmap:
-                return False
             h = zlib.crc32(piece.encode()) & mask
             return bitmap[h >> 3] >> (h & 7) & 1 > 0
 
-        def ratios(word: str) -> list[float] | None:
-            out = none
+        def ratio(word: str) -> float:
+            out = 0.0
             for g in grams(word):
                 got = gram.get(g)
                 if got is None:
-                    if elsewhere(g):
-                        return None
-                    got = context.get(g[:-1])
-                    if got is None:
-                        if elsewhere(g[:-1]):
-                            return None
-                        continue
-                out = [x + y for x, y in zip(out, got, strict=True)]
+                    if bitmap and elsewhere(g):
+                        return math.nan
+                    got = context.get(g[:-1], 0.0)
+                    if not got and bitmap and g[:-1] not in context and elsewhere(g[:-1]):
+                        return math.nan
+                out += got
             return out
 
-        return ratios
+        return ratio
 
+    def places(self, cells: tuple[str, ...], shares: tuple[float, ...]) -> Places:
+        """What this worker process knows of words so far; kept with the broadcast value from task to task."""
+        kept = self.__dict__.setdefault("kept", {})
+        if (cells, shares) not in kept:
+            kept[cells, shares] = Places([self.use(c) for c in cells], shares)
+        return kept[cells, shares]
 
-def told_words(rows: DataFrame, shipped: Shipped, cells: list[str], shares: tuple[float, ...]) -> DataFrame:
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "kept"}
+
+
+class Places(dict):
+    """word -> its row of `values`: for each cell and share the mixture's log-likelihood ratio."""
+
+    def __init__(self, ratios: list[Callable[[str], float]], shares: tuple[float, ...]):
+        self.ratios, self.shares = ratios, shares
+        self.values = np.zeros((1024, len(ratios) * len(shares)))
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        self.values[at] = [math.log1p(s * math.expm1(min(r(word), 100.0))) for r in self.ratios for s in self.shares]
+        self[word] = at
+        return at
+
+    def sums(self, words: list[str], cell: int) -> np.ndarray:
+        """By share the sum over all words, nan if one of them is not told here."""
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        m = len(self.shares)
+        return self.values[at, cell * m : (cell + 1) * m].sum(0)
+
+    def bounded(self) -> Places:
+        if len(self) > TASK_WORDS:
+            self.clear()
+        return self
+
+
+def told_words(rows: DataFrame, shipped: Shipped, cells: tuple[str, ...], shares: tuple[float, ...]) -> DataFrame:
     """(key, cell, n, base, rest) of rows (key, cell, text): the number of words, for every share the sum of the mixture's
     log-likelihood ratios over the words told here, by the cell's counts; and the other words."""
     sent = rows.sparkSession.sparkContext.broadcast(shipped)
-    share = np.array(shares)[:, None]
 
     def run(batches):
-        ratios, memo = sent.value.use(cells), {}
+        places = sent.value.places(cells, shares)
         for b in batches:
-            if len(memo) > TASK_WORDS:
-                memo.clear()
             n, base, rest = [], [], []
             for cell, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = Counter(WORD.findall((text or "").lower()))
-                n.append(words.total())
-                times, told, left = [], [], []
-                for w, k in words.items():
-                    if w not in memo:
-                        memo[w] = ratios(w)
-                    r = memo[w]
-                    if r is None:
-                        left.append({"word": w, "times": k})
-                    else:
-                        times.append(k)
-                        told.append(r[cell])
-                sums = np.log1p(share * np.expm1(np.minimum(np.array(told), 100.0))) @ np.array(times, float) if told else np.zeros(len(shares))
+                words = WORD.findall((text or "").lower())
+                n.append(len(words))
+                sums, left = places.bounded().sums(words, cell), Counter()
+                if math.isnan(sums[0]):
+                    left = Counter(w for w in words if math.isnan(places.values[places[w], 0]))
+                    sums = places.sums([w for w in words if w not in left], cell)
                 base.append(sums.tolist())
-                rest.append(left)
+                rest.append([{"word": w, "times": k} for w, k in left.items()])
             kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(base, pa.list_(pa.float64())), pa.array(rest, kind)], names=["key", "cell", "n", "base", "rest"])
 
@@ -202,7 +226,7 @@ def told_words(rows: DataFrame, shipped: Shipped, cells: list[str], shares: tupl
     return written(rows.select("key", "cell", "text").mapInArrow(run, f"key {key}, cell int, n bigint, base array<double>, rest array<struct<word:string,times:bigint>>"))
 
 
-def whole(told: DataFrame, tables: tuple[DataFrame, DataFrame], cells: list[str], shares: tuple[float, ...]) -> DataFrame:
+def whole(told: DataFrame, tables: tuple[DataFrame, DataFrame], cells: tuple[str, ...], shares: tuple[float, ...]) -> DataFrame:
     """(key, mean) of told rows, one a key: for every share the mean log-likelihood ratio over all words, 0 without words."""
     tokens = told.select("key", "cell", F.explode("rest").alias("w")).select("key", "cell", "w.word", "w.times")
     ratio = F.element_at(F.array(*cells), F.col("cell") + 1)
@@ -255,21 +279,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(told), "id").withColumn("half", half)
 
     def words(batches):
-        held: Counter = Counter()
+        held = [Counter() for _ in range(4)]
 
         def emit():
-            rows = list(held.items())
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for (w, _), _ in rows], pa.string()), pa.array([c for (_, c), _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], names=["word", "cell", "n"])
+            rows = [(w, c, n) for c, of in enumerate(held) for w, n in of.items()]
+            for of in held:
+                of.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _, _ in rows], pa.string()), pa.array([c for _, c, _ in rows], pa.int32()), pa.array([n for _, _, n in rows], pa.int64())], names=["word", "cell", "n"])
 
         for b in batches:
             for toxic, h, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                cell = 2 * toxic + h
-                for w, n in Counter(WORD.findall((text or "").lower())).items():
-                    held[w, cell] += n
-            if len(held) > TASK_WORDS:
-                yield emit()
-        if held:
+                held[2 * toxic + h].update(WORD.findall((text or "").lower()))
+                if sum(map(len, held)) > TASK_WORDS:
+                    yield emit()
+        if any(held):
             yield emit()
 
     def pieces(batches):
@@ -299,8 +322,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = train.where(F.pmod(F.xxhash64("id", F.lit(12)), F.lit(max(1, -(-rows // CURVE_ROWS)))) == 0)
     # a half's texts are scored by the other half's counts
     part = part.select(F.struct(F.monotonically_increasing_id().alias("row"), "toxic").alias("key"), F.col("half").alias("cell"), "text")
-    sample = told_words(part, shipped, ["r0", "r1"], SHARES)
-    points = whole(sample, tables, ["r0", "r1"], SHARES).select("key.toxic", F.col("mean").alias("x")).toArrow()
+    sample = told_words(part, shipped, ("r0", "r1"), SHARES)
+    points = whole(sample, tables, ("r0", "r1"), SHARES).select("key.toxic", F.col("mean").alias("x")).toArrow()
     release(sample)
     y = points.column("toxic").to_numpy().astype(float)
     x = np.array(points.column("x").to_pylist(), float).reshape(len(y), len(SHARES))
@@ -339,8 +362,8 @@ def text_digest(text: Column) -> Column:
 
 def text_scores(texts: DataFrame, model: ToxicityModel) -> DataFrame:
     """(key, score) of every distinct text, by its digest; `texts` has one column, and the model was fitted."""
-    told = told_words(texts.select(text_digest(F.col("text")).alias("key"), F.lit(0).alias("cell"), "text"), model.shipped, ["r"], (model.share,))
-    mean = whole(told.dropDuplicates(["key"]), model.tables, ["r"], (model.share,))
+    told = told_words(texts.select(text_digest(F.col("text")).alias("key"), F.lit(0).alias("cell"), "text"), model.shipped, ("r",), (model.share,))
+    mean = whole(told.dropDuplicates(["key"]), model.tables, ("r",), (model.share,))
     power = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), model.slope * F.col("mean")[0] + model.intercept))
     out = written(mean.select("key", (1 / (1 + F.exp(-power))).alias("score")))
     release(told)
