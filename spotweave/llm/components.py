@@ -55,7 +55,9 @@ def _contracted(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node reachable by the edges (a, b), both bigint; only nodes with edges."""
+    state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = written(_contracted(edges.where("a is not null and b is not null and a <> b")))
+    before = state(now)
     while True:
         # large-star: a node's larger neighbours hang on its smallest one
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -67,11 +69,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         new = written(small)
         release(large)
-        state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        same = state(new) == state(now)
         release(now)
-        if same:
+        after = state(new)
+        if after == before:
             out = new.select(F.col("a").alias("node"), F.col("b").alias("root"))
             out.stored_at = new.stored_at
             return out
-        now = new
+        now, before = new, after

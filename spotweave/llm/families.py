@@ -117,24 +117,28 @@ def between(sid: np.ndarray, root: np.ndarray, distance: np.ndarray, home: np.nd
     return out
 
 
-def dealt(members: DataFrame, roots: DataFrame, known: DataFrame, whole: bool, seed: int) -> DataFrame | None:
-    """The members of groups of several components, in cells (leader, cell, low, high) of one or two parts; None: no group.
-    whole: all pairs that are left; else each part by itself, and None unless a group has several parts."""
-    at = ["leader", "cell"]
-    rows = members.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    by_root = rows.groupBy(*at, "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"))
+def mixed(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """(leader, cell, main, parts, outer, inner) of the groups of several components, and the most parts of one (0: no
+    group): the root of the largest component, and the numbers of parts of all, of the outsiders, of that component."""
+    rows = rooted(members, roots)
+    by_root = rows.groupBy("leader", "cell", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"))
     parts = lambda k, size: F.ceil(F.greatest(k / F.lit(PART), size / F.lit(PART_SHINGLES)))
     main = F.max(F.struct("k", "size", "root"))
-    group = by_root.groupBy(*at).agg(main.alias("main"), F.sum("k").alias("k"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    together = parts(F.col("k"), F.col("size"))
-    group = group.select(*at, F.col("main.root").alias("main"), together.alias("parts"), parts(F.col("k") - F.col("main.k"), F.col("size") - F.col("main.size")).alias("outer"), parts(F.col("main.k"), F.col("main.size")).alias("inner"))
-    group = written(group)
-    most = group.agg(F.max("parts")).first()[0]
-    if most is None or (not whole and most <= 1):
-        release(group)
-        return None
-    rows = rows.join(group, at)
-    place = F.xxhash64("sid", F.lit(seed))
+    group = by_root.groupBy("leader", "cell").agg(main.alias("main"), F.sum("k").alias("k"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    outer, inner = parts(F.col("k") - F.col("main.k"), F.col("size") - F.col("main.size")), parts(F.col("main.k"), F.col("main.size"))
+    group = written(group.select("leader", "cell", F.col("main.root").alias("main"), parts(F.col("k"), F.col("size")).alias("parts"), outer.alias("outer"), inner.alias("inner")))
+    return group, group.agg(F.max("parts")).first()[0] or 0
+
+
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+
+def dealt(members: DataFrame, roots: DataFrame, group: DataFrame, known: DataFrame, whole: bool) -> DataFrame:
+    """The groups' members in cells (leader, cell, low, high) of one or two parts.  whole: all pairs that are left; else
+    each part by itself."""
+    rows = rooted(members, roots).join(group, ["leader", "cell"])
+    place = F.xxhash64("sid", F.lit(int(whole)))
     if not whole:
         rows = rows.withColumn("part", F.pmod(place, F.col("parts"))).withColumn("low", F.col("part")).withColumn("high", F.col("part"))
     else:
@@ -144,9 +148,7 @@ def dealt(members: DataFrame, roots: DataFrame, known: DataFrame, whole: bool, s
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), others.cast("bigint") - 1)))
         rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
     rows = rows.join(known.select("leader", "sid", "distance"), ["leader", "sid"], "left")
-    out = written(rows.select(*at, "low", "high", "sid", "root", F.coalesce("distance", F.lit(0)).alias("distance"), "home", F.col("part").cast("bigint").alias("part")))
-    release(group)
-    return out
+    return rows.select("leader", "cell", "low", "high", "sid", "root", F.coalesce("distance", F.lit(0)).alias("distance"), "home", F.col("part").cast("bigint").alias("part"))
 
 
 def compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,11 +170,16 @@ def connected(entries: DataFrame, sets: DataFrame, roots: DataFrame, percent: in
     known = from_leaders(members, sets, percent)
     edges = known.where("linked").select(F.col("leader").alias("a"), F.col("sid").alias("b"))
     now = components(roots.toDF("a", "b").unionByName(edges))
-    for seed, whole in enumerate((False, True)):
-        rows = dealt(members, now, known, whole, seed)
-        if rows is not None:
+    whole = started = False
+    while not whole:
+        group, most = mixed(members, now)
+        whole = started or most <= 1  # groups of several parts: first each part by itself
+        if most:
+            rows = written(dealt(members, now, group, known, whole))
             new = components(now.toDF("a", "b").unionByName(compared(rows, sets, percent)))
             release(rows, now)
             now = new
+        release(group)
+        started = True
     release(members, known)
     return now

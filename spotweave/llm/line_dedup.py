@@ -50,18 +50,23 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1))}
 
 
-def similar(a: str, b: set[str]) -> bool:
-    """Exact: whether the shingles of a line and those of another have the similarity; a pair that lacks too many of the
-    first shingles already is left at once."""
-    last = max(1, len(a) - CHARS + 1)
-    if last > 64:
-        lacking = len({a[i : i + CHARS] for i in range(64)} - b)
-        # the union holds b and what the line has beyond it, the intersection at most b
-        if len(b) < SIMILARITY * (len(b) + lacking) - 1e-12:
-            return False
-    x = shingles(a)
-    shared = len(x & b)
-    return shared >= SIMILARITY * (len(x) + len(b) - shared) - 1e-12
+def similar(a: list[str], b: list[str]) -> list[bool]:
+    """Whether the lines of every pair have the similarity, exactly, by 64-bit hashes of their shingles."""
+    place = {line: k for k, line in enumerate(dict.fromkeys(a + b))}
+    sets = shingle_sets(list(place)) if place else []
+    n = np.array([len(x) for x in sets], np.int64)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
+    each = np.split(code, np.cumsum(n)[:-1])
+    mark, held, out = np.zeros(int(code.max(initial=-1)) + 1, bool), -1, []
+    for x, y in zip((place[s] for s in a), (place[s] for s in b), strict=True):
+        if y != held:  # the join brings a line's pairs together
+            if held >= 0:
+                mark[each[held]] = False
+            mark[each[y]] = True
+            held = y
+        shared = int(np.count_nonzero(mark[each[x]]))
+        out.append(shared >= SIMILARITY * (int(n[x] + n[y]) - shared) - 1e-12)
+    return out
 
 
 def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -233,13 +238,8 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def check(batches):
-        held, of = None, set()
         for t in batches:
-            keep = []
-            for b, x, y in zip(t.column(1).to_pylist(), t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
-                if b != held:  # the join brings a line's pairs together
-                    held, of = b, shingles(y)
-                keep.append(similar(x, of))
+            keep = similar(t.column(2).to_pylist(), t.column(3).to_pylist())
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(check, "a bigint, b bigint")

@@ -26,14 +26,13 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import fresh, narrow_batches, release, small, written
+from spotweave.llm.common import fresh, mix, narrow_batches, release, small, written
 from spotweave.llm.jaccard_join import Bits
 
 ORDER, DISCOUNT = 6, 0.75
@@ -118,16 +117,39 @@ def mixture(ratio: Column, share: float) -> Column:
     return F.log1p(F.lit(share) * F.expm1(F.least(ratio, F.lit(100.0))))
 
 
+def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every n-gram, hash of its context, its word's place, its character's place in the padded words)."""
+    text = np.frombuffer("".join([PAD * (ORDER - 1) + w + END for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    counts = np.array([len(w) + 1 for w in words], np.int64)
+    at = np.arange(int(counts.sum())) + np.repeat((ORDER - 1) * np.arange(len(words)), counts)
+    shift = np.uint64(21)
+    pair = (text[:-1] << shift) | text[1:]
+    three = (pair[:-1] << shift) | text[2:]  # three code points of 21 bits each
+    head, tail = three[at], three[at + 3]
+    return joint(head, tail), joint(head, tail >> shift | np.uint64(1 << 63)), np.repeat(np.arange(len(words)), counts), at
+
+
+def joint(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(head) * np.uint64(0x9E3779B97F4A7C15) + tail)
+
+
 class Shipped:
-    """Ratios of the commonest n-grams and contexts, and a bitmap of the others: picklable arrays, dictionaries where used."""
+    """Ratios of the commonest n-grams and contexts by 64-bit hash, and a bitmap of the others."""
 
     def __init__(self, tables: tuple[DataFrame, DataFrame]):
-        self.arrays, rest, spent = [], [], []
-        for df in tables:
+        self.sorted, rest, spent = [], [], []
+        for kind, df in enumerate(tables):
             name = df.columns[0]
             usual = written(df.orderBy(F.desc("times"), name).limit(COMMON_GRAMS))
             got = usual.drop("times").toArrow()
-            self.arrays.append((got.column(name).combine_chunks(), np.column_stack([got.column(r).to_numpy() for r in CELLS])))
+            # as words without padding: of such a piece the only whole n-gram is the first
+            pieces = [p + END for p in got.column(name).to_pylist()] if kind else got.column(name).to_pylist()
+            hashes = gram_hashes(pieces)
+            first = np.searchsorted(hashes[2], np.arange(len(pieces))) + ORDER - 1
+            h = hashes[kind][first] if len(pieces) else np.zeros(0, np.uint64)
+            order = np.argsort(h)
+            self.sorted.append((h[order], np.column_stack([got.column(r).to_numpy()[order] for r in CELLS])))
             if got.num_rows == COMMON_GRAMS:
                 rest.append(df.join(usual.select(name), name, "left_anti").select(F.crc32(F.col(name).cast("binary")).alias("h")))
             spent.append(usual)
@@ -138,36 +160,43 @@ class Shipped:
             self.words = Bits.of(others, self.bits).words
         release(*spent)
 
-    def use(self, cell: str) -> Callable[[str], float]:
-        """word -> its ratio by the cell's counts, or nan if a join must tell it."""
-        at = list(CELLS).index(cell)
-        gram, context = (dict(zip(names.to_pylist(), values[:, at].tolist(), strict=True)) for names, values in self.arrays)
-        bitmap, mask = (b"", 0) if self.words is None else (self.words.tobytes(), (1 << self.bits) - 1)
-
-        def elsewhere(piece: str) -> bool:
-            h = zlib.crc32(piece.encode()) & mask
-            return bitmap[h >> 3] >> (h & 7) & 1 > 0
-
-        def ratio(word: str) -> float:
-            out = 0.0
-            for g in grams(word):
-                got = gram.get(g)
-                if got is None:
-                    if bitmap and elsewhere(g):
-                        return math.nan
-                    got = context.get(g[:-1], 0.0)
-                    if not got and bitmap and g[:-1] not in context and elsewhere(g[:-1]):
-                        return math.nan
-                out += got
-            return out
-
-        return ratio
+    def ratios(self, words: list[str], cells: tuple[str, ...]) -> np.ndarray:
+        """(words x cells) sums of the n-grams' ratios, nan where a join must tell them."""
+        gram, context, word, at = gram_hashes(words)
+        columns = [list(CELLS).index(c) for c in cells]
+        value, found = np.zeros((len(gram), len(cells))), np.zeros(len(gram), bool)
+        for kind, (h, (known, values)) in enumerate(zip((gram, context), self.sorted, strict=True)):
+            left = np.flatnonzero(~found)
+            if not len(known) or not len(left):
+                continue
+            if self.words is not None and kind:
+                value[left] = np.where(self.elsewhere(words, word[left], at[left], ORDER)[:, None], np.nan, value[left])
+                left = left[~np.isnan(value[left, 0])]
+            place = np.minimum(np.searchsorted(known, h[left]), len(known) - 1)
+            hit = known[place] == h[left]
+            value[left[hit]] = values[place[hit]][:, columns]
+            found[left[hit]] = True
+        left = np.flatnonzero(~found & ~np.isnan(value[:, 0]))
+        if self.words is not None and len(left):
+            value[left] = np.where(self.elsewhere(words, word[left], at[left], ORDER - 1)[:, None], np.nan, 0.0)
+        return np.add.reduceat(value, np.searchsorted(word, np.arange(len(words)))) if len(words) else value
+
+    def elsewhere(self, words: list[str], word: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """Whether the n-grams (or contexts) of these words that start there may be among those not shipped."""
+        bitmap, mask = self.words.view(np.uint8), (1 << self.bits) - 1
+        starts = np.cumsum([0] + [len(w) + ORDER for w in words])
+        out = np.zeros(len(word), bool)
+        for k, (w, a) in enumerate(zip(word.tolist(), (at - starts[word]).tolist(), strict=True)):
+            piece = (PAD * (ORDER - 1) + words[w] + END)[a : a + width]
+            h = zlib.crc32(piece.encode("utf-8", "surrogatepass")) & mask
+            out[k] = bitmap[h >> 3] >> (h & 7) & 1
+        return out
 
     def places(self, cells: tuple[str, ...], shares: tuple[float, ...]) -> Places:
         """What this worker process knows of words so far; kept with the broadcast value from task to task."""
         kept = self.__dict__.setdefault("kept", {})
         if (cells, shares) not in kept:
-            kept[cells, shares] = Places([self.use(c) for c in cells], shares)
+            kept[cells, shares] = Places(self, cells, shares)
         return kept[cells, shares]
 
     def __getstate__(self):
@@ -175,19 +204,21 @@ class Shipped:
 
 
 class Places(dict):
-    """word -> its row of `values`: for each cell and share the mixture's log-likelihood ratio."""
-
-    def __init__(self, ratios: list[Callable[[str], float]], shares: tuple[float, ...]):
-        self.ratios, self.shares = ratios, shares
-        self.values = np.zeros((1024, len(ratios) * len(shares)))
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.values):
-            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        self.values[at] = [math.log1p(s * math.expm1(min(r(word), 100.0))) for r in self.ratios for s in self.shares]
-        self[word] = at
-        return at
+    """word -> its row of `values`: for each cell and share the mixture's log-likelihood ratio, nan if not told here."""
+
+    def __init__(self, shipped: Shipped, cells: tuple[str, ...], shares: tuple[float, ...]):
+        self.shipped, self.cells, self.shares = shipped, cells, np.array(shares)
+        self.values = np.zeros((0, len(cells) * len(shares)))
+
+    def add(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self]
+        if new:
+            ratio = np.minimum(self.shipped.ratios(new, self.cells), 100.0)
+            rows = np.log1p(self.shares * np.expm1(ratio)[:, :, None]).reshape(len(new), -1)
+            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+            if len(self) > len(self.values):
+                self.values = np.concatenate([self.values, np.zeros((max(len(self) - len(self.values), len(self.values)), self.values.shape[1]))])
+            self.values[len(self) - len(new) : len(self)] = rows
 
     def sums(self, words: list[str], cell: int) -> np.ndarray:
         """By share the sum over all words, nan if one of them is not told here."""
@@ -195,11 +226,6 @@ class Places(dict):
         m = len(self.shares)
         return self.values[at, cell * m : (cell + 1) * m].sum(0)
 
-    def bounded(self) -> Places:
-        if len(self) > TASK_WORDS:
-            self.clear()
-        return self
-
 
 def told_words(rows: DataFrame, shipped: Shipped, cells: tuple[str, ...], shares: tuple[float, ...]) -> DataFrame:
     """(key, cell, n, base, rest) of rows (key, cell, text): the number of words, for every share the sum of the mixture's
@@ -210,10 +236,13 @@ def told_words(rows: DataFrame, shipped: Shipped, cells: tuple[str, ...], shares
         places = sent.value.places(cells, shares)
         for b in batches:
             n, base, rest = [], [], []
-            for cell, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = WORD.findall((text or "").lower())
+            texts = [WORD.findall((text or "").lower()) for text in b.column(2).to_pylist()]
+            if len(places) > TASK_WORDS:
+                places.clear()
+            places.add(set().union(*texts))
+            for cell, words in zip(b.column(1).to_pylist(), texts, strict=True):
                 n.append(len(words))
-                sums, left = places.bounded().sums(words, cell), Counter()
+                sums, left = places.sums(words, cell), Counter()
                 if math.isnan(sums[0]):
                     left = Counter(w for w in words if math.isnan(places.values[places[w], 0]))
                     sums = places.sums([w for w in words if w not in left], cell)
