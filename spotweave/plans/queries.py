@@ -524,3 +524,6 @@ def integrity_summary(spark, d):
     c = r.agg(F.sum((F.length("quality") != F.col("read_len")).cast("int")).alias("quality_length"), F.sum(F.col("bases_b").contains("N").cast("int")).alias("quality_absent"))
     out = quality.diagnosis({"quality_length": F.col("quality_length"), "quality_absent": F.col("quality_absent")})
     return c.select("run", *(v.alias(k) for k, v in out.items()))
+
+
+from spotweave.plans import archives  # noqa: E402, F401  registers its queries

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +26,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the supplied tables, read by Spark (the folder may be in any store that Spark knows)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset and all
+    tasks run in the driver's process, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spotweave-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/archives-{uuid.uuid4().hex}"

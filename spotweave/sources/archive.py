@@ -1,9 +1,7 @@
-"""Columnar archives: container directory, column locators, blob envelopes and page maps, as a Spark data source.
+"""Columnar archives, the formats: container directory, column locators, blob envelopes and page maps, from bytes.
 
-`archive_toc`, the directory, is a relation over files that Spark's own binary reader finds; locators, envelopes and page
-maps are functions over bytes, and no relation of blobs is built on them yet.  Integers are little-endian.  Not built:
-idx0 overlays, the one blob over all data of a column without locators (such a column gives no blobs), and checks of
-CRC-32 (`checksum` computes it, no reader calls it) and MD5.
+`codecs` has the transforms of blob contents, `columns` reads members and row windows by byte range, `relations` makes
+DataFrames of them and `writer` writes archives.  Integers are little-endian.
 """
 
 from __future__ import annotations
@@ -13,8 +11,6 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
 # Magics, entry types, magic of column indexes, the polynomial of the blob checksum.
 MAGIC, BYTE_ORDER, COLUMN_MAGIC, POLYNOMIAL = b"NCBI.sra", 0x05031988, 0x05031988, 0x04C11DB7
@@ -321,24 +317,3 @@ def envelope(raw: bytes, rows: int) -> tuple[list[Frame], PageMap | None, bytes,
     if c > len(raw):
         raise FormatError("a blob is shorter than its header tells")
     return frames(raw[a:b]) if sizes[0] else [], page_map(raw[b:c], rows) if sizes[1] else None, raw[c:], -(head & 7) & 7
-
-
-TOC_SCHEMA = "archive string, path string, kind string, offset bigint, size bigint, target string"
-
-
-def archive_toc(spark: SparkSession, path: str) -> DataFrame:
-    """The members of every archive below a path, read by Spark in whatever store it lies."""
-
-    def run(batches):
-        names = [c.split()[0] for c in TOC_SCHEMA.split(", ")]
-        for b in batches:
-            rows = []
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data, toc = read_toc(content)
-                rows += [(name, e.path, e.kind, data + e.offset if e.kind in ("file", "chunked") else None, e.size, e.target) for e in toc]
-            columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, TOC_SCHEMA)

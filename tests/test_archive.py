@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from spotweave.sources import archive as a
+from spotweave.sources import relations
 
 
 def tree(nodes):
@@ -32,7 +33,7 @@ def test_toc(spark, tmp_path):
     e = a.resolve(toc, "col/READ/link")
     assert container()[data + e.offset :][: e.size] == b"hello"
     (tmp_path / "x.sra").write_bytes(container())
-    assert a.archive_toc(spark, str(tmp_path)).where("kind = 'file'").first().size == 5
+    assert relations.archive_members(spark, str(tmp_path)).where("kind = 'file'").first().size == 5
     for bad in (b"x" * 40, container()[:60]):
         with pytest.raises(a.FormatError):
             a.read_toc(bad)
