@@ -69,6 +69,7 @@ def spans_of(raw: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...] = RUL
     at, marks = dfa.scan(buffer)
     if not len(at):
         return {}
+    points = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80, dtype=np.int64)])  # code points before a byte
     resets = np.concatenate([[-1], np.flatnonzero(dfa.resets[buffer])])
     line = np.searchsorted(resets, at) - 1  # the last resetting byte before the match
     found: dict[int, list[tuple[int, int, str]]] = {}
@@ -78,8 +79,7 @@ def spans_of(raw: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...] = RUL
     for k, bits in zip(lines.tolist(), told.tolist(), strict=True):
         a, b = int(resets[k]) + 1, int(resets[k + 1]) if k + 1 < len(resets) else len(buffer)
         row = int(np.searchsorted(firsts, a, "right")) - 1
-        before = buffer[firsts[row] : a]
-        shift = int(np.count_nonzero((before & 0xC0) != 0x80))  # code points, not bytes
+        shift = int(points[a] - points[firsts[row]])
         text = buffer[a:b].tobytes().decode("utf-8", "surrogatepass")
         for n, (rule, pattern) in enumerate(zip(rules, patterns, strict=True)):
             if bits >> n & 1:

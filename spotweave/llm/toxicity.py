@@ -64,9 +64,9 @@ def backoff(inventory: DataFrame) -> DataFrame:
             rows = rows.withColumn("shared", F.lit(1 / (1 + level.count())))
         else:
             rows = rows.withColumn("part", F.expr("substring(piece, 2)")).join(out.toDF("part", "shared"), "part")
-        out = rows.select("piece", ((F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("shared")) / F.col("total")).alias("p"))
-    out = written(out)
-    release(*levels)
+        before, out = out, rows.select("piece", ((F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("shared")) / F.col("total")).alias("p"))
+        out = written(out)
+        release(level, *([] if before is None else [before]))
     return out
 
 

@@ -38,6 +38,8 @@ HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_ur
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPLIT_BYTES = 16 << 20
 READ_ROWS = 256
+#: Stretches that the driver plans at most; neighbours in a file are read by one task beyond it.
+MOST_STRETCHES = 50_000
 COLUMNS = ["record_id", "record_type", "target_uri", "refers_to", "record_date", "payload"]
 
 
@@ -182,12 +184,13 @@ class WarcReader(DataSourceReader):
         manifests = [i.path for i in listed if i.base_name.startswith("_committed-")]
         if not manifests:
             return [Stretch(i.path, 0, None) for i in listed if i.base_name.endswith((".warc", ".warc.gz"))]
-        out = []
+        found = []
         for m in manifests:
             with store.open_input_stream(m, compression=None) as f:
-                for name, splits in json.loads(f.read()):
-                    out += [Stretch(f"{m.rpartition('/')[0]}/{name}", a, b) for a, b in zip(splits, splits[1:], strict=False)]
-        return out
+                found += [(f"{m.rpartition('/')[0]}/{name}", splits) for name, splits in json.loads(f.read())]
+        step = max(1, -(-sum(len(splits) - 1 for _, splits in found) // MOST_STRETCHES))  # neighbours of a file go together
+        marks = [(name, [*splits[:-1:step], splits[-1]]) for name, splits in found if len(splits) > 1]
+        return [Stretch(name, a, b) for name, at in marks for a, b in zip(at, at[1:], strict=False)]
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         if partition is None:
@@ -198,16 +201,14 @@ class WarcReader(DataSourceReader):
             end = f.size() if partition.end is None else partition.end
             f.seek(partition.start)
             stream = io.BufferedReader(_Bounded(f, end), 1 << 20)
-            step = self._gzip if partition.path.endswith(".gz") else self._plain
-            while True:
-                more, row = step(stream)
+            for row in self._gzip(stream) if partition.path.endswith(".gz") else self._plain(stream):
                 if row is not None:
                     rows.append(row)
-                if rows and (len(rows) >= READ_ROWS or not more):
+                if len(rows) >= READ_ROWS:
                     yield self._batch(rows)
                     rows = []
-                if not more:
-                    return
+            if rows:
+                yield self._batch(rows)
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -239,85 +240,125 @@ class WarcReader(DataSourceReader):
                 sha = hashlib.sha1(payload).hexdigest()
         return (*(columns[c] for c in HEADERS), value or None, size, sha, payload if self.payload == "full" else None)
 
-    def _plain(self, f: io.BufferedReader) -> tuple[bool, tuple | None]:
-        line = f.readline()
-        while line in (b"\r\n", b"\n"):
+    def _plain(self, f: io.BufferedReader) -> Iterator[tuple | None]:
+        """A row of every record, None for one that a predicate rejects."""
+        while True:
             line = f.readline()
-        if not line:
-            return False, None
-        head = [line]
-        while (line := f.readline()).strip():
-            head.append(line)
-        headers = parse_headers(b"".join(head))
-        length = int(headers.get("content-length", 0))
-        columns = self._columns(headers)
-        if columns is None or self.payload == "none":
-            f.seek(length, io.SEEK_CUR) if f.seekable() else f.read(length)
-            return True, None if columns is None else self._row(columns, headers, None)
-        return True, self._row(columns, headers, f.read(length))
-
-    def _gzip(self, f: io.BufferedReader) -> tuple[bool, tuple | None]:
-        fixed = f.read(10)
-        if len(fixed) < 10:
-            return False, None
-        if fixed[:3] != b"\x1f\x8b\x08":
-            raise ValueError("not a gzip member")
-        flags, used, total = fixed[3], 10, 0
-        if flags & 4:
-            n = struct.unpack("<H", f.read(2))[0]
-            extra = f.read(n)
-            used += 2 + n
-            while len(extra) >= 4:
-                k = struct.unpack("<H", extra[2:4])[0]
-                if extra[:2] == b"sl" and k == 8:
-                    total = struct.unpack("<I", extra[4:8])[0]
-                extra = extra[4 + k :]
-        for bit in (8, 16):  # name, comment
-            if flags & bit:
-                while (c := f.read(1)) not in (b"\0", b""):
-                    used += 1
-                used += 1
-        if flags & 2:
-            used += len(f.read(2))
-        inflate = zlib.decompressobj(-15)
-        data, pending = b"", b""
-
-        def more(least: int | None) -> None:
-            """Inflates until so many bytes of content are there, or to the member's end."""
-            nonlocal data, pending, used
-            parts, have = [data], len(data)
-            while not inflate.eof and (least is None or have < least):
-                if not pending:
-                    pending = f.read(min(1 << 14, total - 8 - used) if total else 1 << 14)
-                    used += len(pending)
-                    if not pending:
-                        raise ValueError("a gzip member ends early")
-                parts.append(inflate.decompress(pending, 0 if least is None else max(1, least - have)))
-                have += len(parts[-1])
-                pending = inflate.unconsumed_tail
-            data = b"".join(parts)
-
-        def leave() -> None:
-            """To the next member: over the unread rest by its known length, else back from what was read too much."""
-            if total:
-                f.read(total - used) if total - used < 1 << 20 else f.seek(total - used, io.SEEK_CUR)
+            while line in (b"\r\n", b"\n"):
+                line = f.readline()
+            if not line:
+                return
+            head = [line]
+            while (line := f.readline()).strip():
+                head.append(line)
+            headers = parse_headers(b"".join(head))
+            length = int(headers.get("content-length", 0))
+            columns = self._columns(headers)
+            if columns is None or self.payload == "none":
+                f.seek(length, io.SEEK_CUR) if f.seekable() else f.read(length)
+                yield None if columns is None else self._row(columns, headers, None)
             else:
-                more(None)
-                over = inflate.unused_data
-                f.read(8 - len(over)) if len(over) < 8 else f.seek(8 - len(over), io.SEEK_CUR)
-
-        while b"\r\n\r\n" not in data and not inflate.eof:
-            more(len(data) + 1024)
-        head, _, rest = data.partition(b"\r\n\r\n")
-        headers = parse_headers(head)
-        columns = self._columns(headers)
-        if columns is None or self.payload == "none":
-            leave()
-            return True, None if columns is None else self._row(columns, headers, None)
-        more(None)
-        block = data[len(head) + 4 :][: int(headers.get("content-length", 0))]
-        leave()
-        return True, self._row(columns, headers, block)
+                yield self._row(columns, headers, f.read(length))
+
+    def _gzip(self, f: io.BufferedReader) -> Iterator[tuple | None]:
+        """The same of gzip members.  A member that tells its length holds one record, and what is not wanted of it is
+        passed over; any other may hold many, which are read as they unfold."""
+        while len(fixed := f.read(10)) == 10:
+            if fixed[:3] != b"\x1f\x8b\x08":
+                raise ValueError("not a gzip member")
+            flags, used, total = fixed[3], 10, 0
+            if flags & 4:
+                n = struct.unpack("<H", f.read(2))[0]
+                extra = f.read(n)
+                used += 2 + n
+                while len(extra) >= 4:
+                    k = struct.unpack("<H", extra[2:4])[0]
+                    if extra[:2] == b"sl" and k == 8:
+                        total = struct.unpack("<I", extra[4:8])[0]
+                    extra = extra[4 + k :]
+            for bit in (8, 16):  # name, comment
+                if flags & bit:
+                    while (c := f.read(1)) not in (b"\0", b""):
+                        used += 1
+                    used += 1
+            if flags & 2:
+                used += len(f.read(2))
+            member = _Member(f, total - 8 - used if total else None)
+            while member.starts():
+                headers = parse_headers(member.head())
+                length, columns = int(headers.get("content-length", 0)), self._columns(headers)
+                if columns is None or self.payload == "none":
+                    row = None if columns is None else self._row(columns, headers, None)
+                    if not total:
+                        member.skip(length)
+                else:
+                    row = self._row(columns, headers, member.take(length))
+                yield row
+                if total:
+                    break
+            member.leave()
+
+
+class _Member:
+    """The content of a gzip member, unfolded as far as it is asked for."""
+
+    def __init__(self, f: io.BufferedReader, size: int | None):
+        self.f, self.left, self.inflate = f, size, zlib.decompressobj(-15)
+        self.data, self.pending = b"", b""
+
+    def more(self, least: int) -> None:
+        """Unfolds until so many bytes are there, or to the member's end."""
+        parts, have = [self.data], len(self.data)
+        while not self.inflate.eof and have < least:
+            if not self.pending:
+                self.pending = self.f.read(1 << 14 if self.left is None else min(1 << 14, self.left))
+                if not self.pending:
+                    raise ValueError("a gzip member ends early")
+                self.left = None if self.left is None else self.left - len(self.pending)
+            parts.append(self.inflate.decompress(self.pending, max(1, least - have)))
+            have += len(parts[-1])
+            self.pending = self.inflate.unconsumed_tail
+        self.data = b"".join(parts)
+
+    def starts(self) -> bool:
+        """Whether another record begins, past the line ends before it."""
+        while True:
+            self.more(4)
+            rest = self.data.lstrip(b"\r\n")
+            if rest or (self.inflate.eof and not rest):
+                self.data = rest
+                return bool(rest)
+            self.data = rest
+
+    def head(self) -> bytes:
+        while b"\r\n\r\n" not in self.data and not self.inflate.eof:
+            self.more(len(self.data) + 1024)
+        out, _, self.data = self.data.partition(b"\r\n\r\n")
+        return out
+
+    def take(self, n: int) -> bytes:
+        self.more(n)
+        out, self.data = self.data[:n], self.data[n:]
+        return out
+
+    def skip(self, n: int) -> None:
+        while n:
+            got = len(self.take(min(n, 1 << 16)))
+            if not got:
+                return
+            n -= got
+
+    def leave(self) -> None:
+        """To the next member: over the unread rest by its known length, else back from what was read too much."""
+        if self.left is not None:
+            rest = self.left + 8
+            self.f.read(rest) if rest < 1 << 20 else self.f.seek(rest, io.SEEK_CUR)
+        else:
+            while not self.inflate.eof:
+                self.more(len(self.data) + (1 << 16))
+                self.data = b""
+            over = self.inflate.unused_data
+            self.f.read(8 - len(over)) if len(over) < 8 else self.f.seek(8 - len(over), io.SEEK_CUR)
 
 
 class _Bounded(io.RawIOBase):
