@@ -37,17 +37,21 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _contracted(edges: DataFrame) -> DataFrame:
     def run(batches):
-        held_a, held_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, size = [], 0
+
+        def united():
+            return forest(*(np.concatenate([np.zeros(0, np.int64), *(h[k] for h in held)]) for k in (0, 1)))
+
         for batch in batches:
-            held_a = np.append(held_a, batch.column(0).to_numpy())
-            held_b = np.append(held_b, batch.column(1).to_numpy())
-            if len(held_a) >= TASK_EDGES:
-                a, b = forest(held_a, held_b)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= TASK_EDGES:
+                a, b = united()
                 if len(a) > TASK_EDGES // 2:
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
                     a, b = a[:0], b[:0]
-                held_a, held_b = a, b
-        a, b = forest(held_a, held_b)
+                held, size = [(a, b)], len(a)
+        a, b = united()
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")

@@ -18,32 +18,38 @@ any names.
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.llm import families
-from spotweave.llm.common import fresh, keys, mix, narrow_batches, release, small, written
+from spotweave.llm.common import batches_of, fresh, keys, mix, narrow_batches, release, small, written
 from spotweave.llm.components import components
 from spotweave.llm.jaccard_join import Bits
 
 CHARS, SIMILARITY, BANDS, ROWS = 8, 0.8, 10, 4
 #: Lines of a band that gives all its pairs.
 ALL_PAIRS = 16
+#: Places that mark a line's shingles by the low bits of their hashes; rows of narrow batches.
+MARKS, NARROW_ROWS = 1 << 18, 16384
 #: Characters whose shingles are hashed at once: the arrays stay in the processor's cache.
 SLICE_CHARS = 1 << 16
 
 
 def normal(line: str) -> str:
+    # printable lines hold no white space but the space
+    if line and line.isprintable() and "  " not in line and line[0] != " " and line[-1] != " ":
+        return line
     return " ".join(line.split())
 
 
 def line_id(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def shingles(line: str) -> set[str]:
@@ -54,21 +60,29 @@ def similar(a: list[str], b: list[str]) -> list[bool]:
     """Whether the lines of every pair have the similarity, exactly, by 64-bit hashes of their shingles."""
     place = {line: k for k, line in enumerate(dict.fromkeys(a + b))}
     sets = shingle_sets(list(place)) if place else []
-    n = np.array([len(x) for x in sets], np.int64)
-    code = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
-    each = np.split(code, np.cumsum(n)[:-1])
-    mark, held, out = np.zeros(int(code.max(initial=-1)) + 1, bool), -1, []
+    low = [(x & np.uint64(MARKS - 1)).astype(np.int64) for x in sets]
+    mark, held, out = np.zeros(MARKS, bool), -1, []
     for x, y in zip((place[s] for s in a), (place[s] for s in b), strict=True):
+        least = SIMILARITY * (len(sets[x]) + len(sets[y])) / (1 + SIMILARITY) - 1e-9  # shingles that a similar pair shares
+        if min(len(sets[x]), len(sets[y])) < least:
+            out.append(False)
+            continue
         if y != held:  # the join brings a line's pairs together
             if held >= 0:
-                mark[each[held]] = False
-            mark[each[y]] = True
+                mark[low[held]] = False
+            mark[low[y]] = True
             held = y
-        shared = int(np.count_nonzero(mark[each[x]]))
-        out.append(shared >= SIMILARITY * (int(n[x] + n[y]) - shared) - 1e-12)
+        # marks shared by chance only add: a pair below the bound is not similar
+        out.append(np.count_nonzero(mark[low[x]]) >= least and common_hashes(sets[x], sets[y]) >= least)
     return out
 
 
+def common_hashes(x: np.ndarray, y: np.ndarray) -> int:
+    """Values that two ascending arrays without repetitions share."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.count_nonzero(y[at] == x))
+
+
 def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(line, hash) of every place's shingle."""
     text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -92,7 +106,14 @@ def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     """The distinct shingles of every line, as ascending hashes."""
     row, value = hashed(lines)
-    return [np.unique(v) for v in np.split(value, np.searchsorted(row, np.arange(1, len(lines))))]
+    ends = np.searchsorted(row, np.arange(1, len(lines) + 1)).tolist()
+    out, start = [], 0
+    for end in ends:
+        v = np.sort(value[start:end])
+        new = v[1:] != v[:-1]
+        out.append(v if new.all() else np.concatenate([v[:1], v[1:][new]]))
+        start = end
+    return out
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -104,13 +125,13 @@ def signatures(lines: list[str]) -> np.ndarray:
         np.minimum.at(out, row * bins + ((value >> np.uint64(32)) % np.uint64(bins)).astype(np.int64), value)
         out = out.reshape(len(lines), bins)
         empty = out == np.iinfo(np.uint64).max
-        source, step = out.copy(), 0
-        while empty.any():
-            step += 1
-            source = np.roll(source, -1, axis=1)
-            take = empty & (source != np.iinfo(np.uint64).max)
-            out[take] = mix(source[take] + np.uint64(step) * keys(1)[0])
-            empty &= ~take
+        rows = np.flatnonzero(empty.any(axis=1))
+        if len(rows):  # an empty bin takes the next one's minimum, mixed with its distance
+            held, places = out[rows], np.arange(bins)
+            full = np.where(np.tile(empty[rows], 2), 2 * bins, np.arange(2 * bins))
+            ahead = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1][:, :bins]
+            lent = mix(np.take_along_axis(held, ahead % bins, axis=1) + (ahead - places).astype(np.uint64) * keys(1)[0])
+            out[rows] = np.where(ahead > places, lent, held)
     return out
 
 
@@ -134,11 +155,14 @@ def line_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
             def emit():
                 at = [k for k, s in enumerate(texts) if s is not None]
-                keyed = bands([texts[k] for k in at]).view(np.int64).tolist() if at else []
-                listed: list[list[int] | None] = [None] * len(ids)
-                for k, row in zip(at, keyed, strict=True):
-                    listed[k] = row
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(listed, pa.list_(pa.int64()))], names=["id", "line_no", "line", "bands"])
+                flat = bands([texts[k] for k in at]).view(np.int64).ravel() if at else np.zeros(0, np.int64)
+                counts = np.zeros(len(ids), np.int64)
+                counts[at] = BANDS
+                none = np.ones(len(ids), bool)
+                none[at] = False
+                offsets = pa.array(np.append(0, np.cumsum(counts)), pa.int32(), mask=np.append(none, False))
+                listed = pa.ListArray.from_arrays(offsets, pa.array(flat))
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), listed], names=["id", "line_no", "line", "bands"])
 
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for n, raw in enumerate((text or "").lower().split("\n")):
@@ -161,7 +185,7 @@ def line_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def candidates(occurrences: DataFrame) -> DataFrame:
     """Pairs (a, b) of lines that share a short band, band null; and the lines a of every long band, b null."""
-    postings = occurrences.where("bands is not null").select(F.explode("bands").alias("band"), "line").repartition("band").sortWithinPartitions("band", "line")
+    postings = occurrences.where("bands is not null").select(F.explode("bands").alias("band"), "line").repartition("band").sortWithinPartitions("band")
 
     def pairs(band: np.ndarray, line: np.ndarray):
         if not len(band):
@@ -191,6 +215,8 @@ def candidates(occurrences: DataFrame) -> DataFrame:
                 band, line = np.append(band, b.column(0).to_numpy()), np.append(line, b.column(1).to_numpy())
             if not len(band):
                 continue
+            order = np.lexsort((line, band))  # Spark sorts by band alone, a radix sort
+            band, line = band[order], line[order]
             keep = np.ones(len(band), bool)
             keep[1:] = (band[1:] != band[:-1]) | (line[1:] != line[:-1])
             band, line = band[keep], line[keep]
@@ -206,7 +232,8 @@ def candidates(occurrences: DataFrame) -> DataFrame:
                 yield entries(band, line)
                 band, line = band[:0], line[:0]
 
-    return written(postings.mapInArrow(run, "a bigint, b bigint, band bigint").distinct())
+    with batches_of(occurrences.sparkSession, NARROW_ROWS):
+        return written(postings.mapInArrow(run, "a bigint, b bigint, band bigint").distinct())
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
