@@ -32,7 +32,8 @@ def default_reads(platform: Column) -> Column:
 
 
 def is_unsupported(platform: Column) -> Column:
-    return platform.isin(*UNSUPPORTED_PLATFORMS)
+    """Whether a platform is declined; an unknown one (null) is not."""
+    return F.coalesce(platform.isin(*UNSUPPORTED_PLATFORMS), F.lit(False))
 
 
 def is_aligned_schema(schema: Column) -> Column:
