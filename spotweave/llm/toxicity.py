@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import fresh, mix, narrow_batches, release, small, written
+from spotweave.llm.common import fresh, mix, narrow_batches, release, slices, small, written
 from spotweave.llm.jaccard_join import Bits
 
 ORDER, DISCOUNT = 6, 0.75
 SHARES = (0.05, 0.02, 0.01, 0.005, 0.002)
-CURVE_ROWS, TASK_WORDS, COMMON_GRAMS, GRAM_BITS = 20_000, 400_000, 300_000, 27
+CURVE_ROWS, COMMON_GRAMS, GRAM_BITS = 20_000, 300_000, 27
+#: A worker holds about so many words; their n-grams are hashed, and texts taken apart, in runs of so many words and characters.
+TASK_WORDS, HASHED_WORDS, SPLIT_CHARACTERS = 120_000, 8_192, 1 << 20
 PAD, END = "\x02", "\x03"
 WORD = re.compile(r"\w+")
 
@@ -213,12 +215,14 @@ class Places(dict):
     def add(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
         if new:
-            ratio = np.minimum(self.shipped.ratios(new, self.cells), 100.0)
-            rows = np.log1p(self.shares * np.expm1(ratio)[:, :, None]).reshape(len(new), -1)
-            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+            held = len(self)
+            self.update(zip(new, range(held, held + len(new)), strict=True))
             if len(self) > len(self.values):
-                self.values = np.concatenate([self.values, np.zeros((max(len(self) - len(self.values), len(self.values)), self.values.shape[1]))])
-            self.values[len(self) - len(new) : len(self)] = rows
+                self.values = np.concatenate([self.values, np.zeros((max(len(self) - len(self.values), len(self.values) // 2), self.values.shape[1]))])
+            for k in range(0, len(new), HASHED_WORDS):
+                part = new[k : k + HASHED_WORDS]
+                ratio = np.minimum(self.shipped.ratios(part, self.cells), 100.0)
+                self.values[held + k : held + k + len(part)] = np.log1p(self.shares * np.expm1(ratio)[:, :, None]).reshape(len(part), -1)
 
     def sums(self, words: list[str], cell: int) -> np.ndarray:
         """By share the sum over all words, nan if one of them is not told here."""
@@ -236,18 +240,21 @@ def told_words(rows: DataFrame, shipped: Shipped, cells: tuple[str, ...], shares
         places = sent.value.places(cells, shares)
         for b in batches:
             n, base, rest = [], [], []
-            texts = [WORD.findall((text or "").lower()) for text in b.column(2).to_pylist()]
-            if len(places) > TASK_WORDS:
-                places.clear()
-            places.add(set().union(*texts))
-            for cell, words in zip(b.column(1).to_pylist(), texts, strict=True):
-                n.append(len(words))
-                sums, left = places.sums(words, cell), Counter()
-                if math.isnan(sums[0]):
-                    left = Counter(w for w in words if math.isnan(places.values[places[w], 0]))
-                    sums = places.sums([w for w in words if w not in left], cell)
-                base.append(sums.tolist())
-                rest.append([{"word": w, "times": k} for w, k in left.items()])
+            cells_of, texts = b.column(1).to_pylist(), b.column(2)
+            offsets = np.concatenate([[0], np.cumsum([len(t.as_py() or "") for t in texts], dtype=np.int64)])
+            for lo, hi in slices(offsets, SPLIT_CHARACTERS):
+                split = [WORD.findall((t.as_py() or "").lower()) for t in texts[lo:hi]]
+                if len(places) > TASK_WORDS:
+                    places.clear()
+                places.add(set().union(*split))
+                for cell, words in zip(cells_of[lo:hi], split, strict=True):
+                    n.append(len(words))
+                    sums, left = places.sums(words, cell), Counter()
+                    if math.isnan(sums[0]):
+                        left = Counter(w for w in words if math.isnan(places.values[places[w], 0]))
+                        sums = places.sums([w for w in words if w not in left], cell)
+                    base.append(sums.tolist())
+                    rest.append([{"word": w, "times": k} for w, k in left.items()])
             kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(base, pa.list_(pa.float64())), pa.array(rest, kind)], names=["key", "cell", "n", "base", "rest"])
 
@@ -311,18 +318,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         held = [Counter() for _ in range(4)]
 
         def emit():
-            rows = [(w, c, n) for c, of in enumerate(held) for w, n in of.items()]
-            for of in held:
-                of.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _, _ in rows], pa.string()), pa.array([c for _, c, _ in rows], pa.int32()), pa.array([n for _, _, n in rows], pa.int64())], names=["word", "cell", "n"])
+            for c, of in enumerate(held):
+                if of:
+                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.string(), size=len(of)), pa.array(np.full(len(of), c, np.int32)), pa.array(of.values(), pa.int64(), size=len(of))], names=["word", "cell", "n"])
+                    of.clear()
 
         for b in batches:
             for toxic, h, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held[2 * toxic + h].update(WORD.findall((text or "").lower()))
                 if sum(map(len, held)) > TASK_WORDS:
-                    yield emit()
-        if any(held):
-            yield emit()
+                    yield from emit()
+        yield from emit()
 
     def pieces(batches):
         for b in batches:
