@@ -3,6 +3,7 @@
 import gzip
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -100,6 +101,34 @@ def test_kneser_ney_by_brute_force(spark):
         assert got[w] == pytest.approx(brute_ratio(words, w)) and told == pytest.approx(got[w])
 
 
+def test_shipped_ratios_come_as_numbers(spark):
+    """The driver's Python holds little besides the hashes and ratios, and they are those of the texts' n-grams."""
+    n = 100_000
+    rows = spark.range(n).select(F.concat(F.lpad(F.col("id").cast("string"), 5, "0"), F.lit(toxicity.END)).alias("gram"), *(F.col("id").cast("double").alias(c) for c in toxicity.CELLS), F.col("id").alias("times"))
+    contexts = rows.select(F.substring("gram", 1, 5).alias("context"), *toxicity.CELLS, "times")
+    tracemalloc.start()
+    try:
+        shipped = toxicity.Shipped((rows, contexts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30e6  # 106 MB when the texts of the n-grams came
+    assert shipped.ratios(["00042", "99999"], ("r",))[:, 0].tolist() == [42.0, 99999.0]
+
+
+def test_known_hashes_by_brute_force():
+    rng = np.random.default_rng(5)
+    near = (np.uint64(7) << np.uint64(60)) + np.arange(40, dtype=np.uint64)  # all in one bucket
+    h = np.unique(np.concatenate([near[::2], rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+    h = h[rng.permutation(len(h))]
+    known = toxicity.Known(h, np.arange(len(h), dtype=float)[:, None])
+    asked = np.concatenate([h, near, h ^ np.uint64(1), rng.integers(0, 2**64, 500, dtype=np.uint64)])
+    at, row = known.find(asked)
+    want = {int(x): k for k, x in enumerate(h.tolist())}
+    assert dict(zip(at.tolist(), known.values[row, 0].tolist(), strict=True)) == {k: want[int(x)] for k, x in enumerate(asked.tolist()) if int(x) in want}
+    assert not len(toxicity.Known(h[:0], np.zeros((0, 1))).find(asked)[0])
+
+
 def test_line_groups_by_brute_force(spark):
     """Random near lines in crowded bands: components are those of the similar pairs that share a band."""
     rng = np.random.default_rng(3)
