@@ -8,6 +8,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from spotweave.llm import families
+
 LONG = " ".join(f"word{k}" for k in range(30_000))
 BASE = " ".join(f"base{k}" for k in range(60))
 NEAR = BASE.replace("base7 ", "other ")
@@ -102,3 +104,20 @@ def test_whole_pipeline(spark):
     docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     rows = out.collect()
     assert rows and all(r.n_tokens == len(r.ids) for r in rows) and {r.doc_id for r in rows} <= set(docs)
+
+
+def test_near_dedup_holds_one_python_step_a_task(spark, monkeypatch):
+    """Links found in Python are written before the next Python step unites them: workers of both would stay side by side."""
+    rng = random.Random(3)
+    passage = [str(rng.randrange(10**6)) for _ in range(60)]
+    texts = [" ".join(passage + [str(rng.randrange(10**6)) for _ in range(rng.randrange(0, 30))]) for _ in range(150)]
+    table = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    plans, unite = [], families.components
+
+    def united(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return unite(edges)
+
+    monkeypatch.setattr(families, "components", united)
+    run("near_dedup", spark, table).collect()
+    assert len(plans) > 1 and not any("InArrow" in p for p in plans)
