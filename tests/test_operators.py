@@ -30,6 +30,13 @@ def test_repair_quality(spark, q, n, want):
     assert one(spark, sq.repair_quality(F.lit(q), F.lit(n))) == (want,)
 
 
+def test_years_of_any_length(spark, duck):
+    epochs = [-99999999999, -62200000000, -62135596801, -61135596801, -1, 0, 253402300799, 253402300800, 600000000000, 9000000000000]
+    for e in epochs:
+        want = duck.execute("select strftime(make_timestamp(? * 1000000), '%Y-%m-%d %H:%M:%S'), strftime(make_timestamp(? * 1000000), '%m/%d/%Y %H:%M')", [e, e]).fetchone()
+        assert one(spark, sq.iso_time(F.lit(e)), sq.c_time(F.lit(e))) == want
+
+
 def test_templates(spark):
     columns = {"run": F.lit("R"), "spot_id": F.lit(7), "read_id": F.lit(2), "spot_name": F.lit(None).cast("string"), "read_len": F.lit(5)}
     assert one(spark, defline.compile_template("@$ac.$si/$ri $sn len=$rl $$", columns)) == ("R.7/2  len=5 $",)
