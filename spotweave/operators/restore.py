@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.functions.letters import numbers, points, text
 from spotweave.functions.sequence import FORWARD, REVERSE, reverse_complement
 
 DEFAULT_CHUNK = 5000
@@ -40,19 +43,49 @@ def fetched_spans(alignments: DataFrame, references: DataFrame, chunk: int = DEF
     return alignments.join(parts, "align_id", "left").withColumn("ref_bases", F.coalesce(text, F.lit(""))).drop("parts")
 
 
+def restored_text(reference: pa.Array, has_mismatch: pa.Array, mismatch: pa.Array, has_offset: pa.Array, offsets: pa.Array) -> pa.Array:
+    """`restored` over whole arrays: cursors are running sums within each row."""
+    (ref, ref_at), (other, other_at) = points(reference), points(mismatch)
+    flags, edges = numbers(has_mismatch)
+    moves, moves_at = numbers(has_offset)
+    steps, steps_at = numbers(offsets)
+    absent = np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in (reference, has_mismatch, mismatch)])
+    size = np.where(absent, 0, np.diff(edges))
+    row = np.repeat(np.arange(len(size)), size)
+    edge = np.cumsum(size) - size
+    place = np.arange(len(row)) - edge[row]
+    if (np.diff(moves_at)[(np.diff(moves_at) < size) & ~has_offset.is_null().to_numpy(zero_copy_only=False)]).size:
+        raise ValueError("fewer offset flags than mismatch flags")
+    taken = flags[edges[row] + place] == 1
+    moved = np.append(moves, 0)[np.where(place < np.diff(moves_at)[row], moves_at[row] + place, len(moves))] == 1
+
+    def before(x: np.ndarray) -> np.ndarray:
+        """The sum of a row's earlier entries."""
+        total = np.cumsum(x) - x
+        return total - total[edge[row]]
+
+    if moved.any():
+        k = before(moved.astype(np.int64))
+        if (moved & (k >= np.diff(steps_at)[row])).any():
+            raise ValueError("fewer offsets than their flags")
+        step = np.where(moved, np.append(steps, 0)[np.where(moved, steps_at[row] + k, len(steps))], 0)
+        at = place + before(step) + step + 1
+    else:
+        at = place + 1
+    # positions as SQL counts them: from 1, 0 like 1, negative ones from the end
+    length = np.diff(ref_at)[row]
+    at = np.where(at > 0, at - 1, np.where(at == 0, 0, length + at))
+    m = before(taken.astype(np.int64))
+    shown = np.where(taken, m < np.diff(other_at)[row], (at >= 0) & (at < length))
+    source = np.concatenate([ref, other])
+    letters = source[np.where(taken, len(ref) + other_at[row] + m, ref_at[row] + at)[shown]]
+    return text(letters, np.bincount(row[shown], minlength=len(size)), absent)
+
+
 def restored(reference: Column, has_mismatch: Column, mismatch: Column, has_offset: Column, offsets: Column) -> Column:
     """A read over its reference: a flagged position takes the next mismatch letter; a flagged offset first moves the
     reference cursor.  All but the letters are arrays, one entry a position (offsets: one entry a flag)."""
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("m"), F.lit(0).alias("o"))
-
-    def step(s, i):
-        moved = F.element_at(has_offset, i + 1) == 1
-        at = s["at"] + F.when(moved, F.element_at(offsets, s["o"] + 1)).otherwise(0)
-        other = F.element_at(has_mismatch, i + 1) == 1
-        letter = F.when(other, mismatch.substr(s["m"] + 1, F.lit(1))).otherwise(reference.substr((at + 1).cast("int"), F.lit(1)))
-        return F.struct(F.concat(s["out"], letter).alias("out"), (at + 1).cast("int").alias("at"), (s["m"] + other.cast("int")).alias("m"), (s["o"] + moved.cast("int")).alias("o"))
-
-    return F.when(F.size(has_mismatch) <= 0, F.lit("")).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(has_mismatch) - 1), state, step, lambda s: s["out"]))
+    return F.arrow_udf(restored_text, "string")(reference, has_mismatch, mismatch, has_offset, offsets)
 
 
 def spliced(spots: DataFrame, aligned: DataFrame) -> DataFrame:

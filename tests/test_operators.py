@@ -97,3 +97,28 @@ def test_routing_stays_in_generated_code(spark):
 
     plan = QUERIES["split3_routing"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ReadSchema: struct<l_orderkey" in plan and "l_shipdate" in plan and "l_tax" not in plan
+
+
+def test_many_restored_at_once(spark):
+    """Against a plain step through every read; among many rows, cursors begin anew in each."""
+    import random
+
+    rng, rows = random.Random(1), []
+    for k in range(500):
+        n = k % 9
+        flags, moves = [rng.randrange(2) for _ in range(n)], [int(rng.random() < 0.3) for _ in range(n)]
+        rows.append((k, "ACGTÄC"[: rng.randrange(7)], flags, "TGN"[: rng.randrange(4)], moves, [rng.randrange(3) for _ in range(sum(moves))]))
+    rows.append((500, "ACGT", None, "", None, None))
+
+    def plain(reference, flags, letters, moves, offsets):
+        out, at, m, o = "", 0, 0, 0
+        for other, moved in zip(flags, moves, strict=True):
+            if moved:
+                at, o = at + offsets[o], o + 1
+            out, m, at = out + (letters[m : m + 1] if other else reference[at : at + 1]), m + other, at + 1
+        return out
+
+    df = spark.createDataFrame(rows, "k int, reference string, flags array<int>, letters string, moves array<int>, offsets array<int>").coalesce(1)
+    got = dict(df.select("k", restore.restored(*(F.col(c) for c in ("reference", "flags", "letters", "moves", "offsets")))).collect())
+    assert got == {k: plain(*r) if r[1] is not None else None for k, *r in rows}
+    assert "ArrowEvalPython" in df.select(restore.restored(*(F.col(c) for c in ("reference", "flags", "letters", "moves", "offsets"))))._jdf.queryExecution().executedPlan().toString()
