@@ -20,6 +20,12 @@ def differences(a: Column, b: Column) -> Column:
     return F.filter(placed, lambda p: p["a"] != p["b"])
 
 
+def substitutions(a: Column, b: Column) -> Column:
+    """The differences of two strings of one length, null if there are none or the lengths differ; equal strings, which
+    are most, are not taken apart.  A condition within the expression, since a filter would compute both strings again."""
+    return F.when((a != b) & (F.length(a) == F.length(b)), differences(a, b))
+
+
 def record_class(a: Column, b: Column) -> Column:
     diffs = differences(a, b)
     masked, flipped = F.exists(diffs, lambda p: (p["a"] == "N") | (p["b"] == "N")), F.exists(diffs, lambda p: (p["a"] != "N") & (p["b"] != "N"))
@@ -50,13 +56,13 @@ def compared(left: DataFrame, right: DataFrame, keys: list[str], n_masking: bool
 def confusion(pairs: DataFrame, a: str = "bases", b: str = "bases_b") -> DataFrame:
     """(base_a, base_b, n) over differing positions of records of one length; other letters are OTHER."""
     known = lambda c: F.when(c.isin("A", "C", "G", "T", "N"), c).otherwise("OTHER")
-    rows = pairs.where(F.length(a) == F.length(b)).select(F.inline(differences(F.col(a), F.col(b))))
+    rows = pairs.select(F.inline(substitutions(F.col(a), F.col(b))))
     return rows.groupBy(known(F.col("a")).alias("base_a"), known(F.col("b")).alias("base_b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def position_histogram(pairs: DataFrame, n: int, a: str = "bases", b: str = "bases_b") -> DataFrame:
     """(bucket, n) for every bucket of the read's length, also those without differences."""
-    rows = pairs.where(F.length(a) == F.length(b)).select(F.length(a).alias("len"), F.explode(differences(F.col(a), F.col(b))).alias("d"))
+    rows = pairs.select(F.length(a).alias("len"), F.explode(substitutions(F.col(a), F.col(b))).alias("d"))
     counts = rows.groupBy(bucket(F.col("d.pos"), F.col("len"), n).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     every = pairs.sparkSession.range(n).select(F.col("id").cast("int").alias("bucket"))
     return every.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

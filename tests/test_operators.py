@@ -122,3 +122,14 @@ def test_many_restored_at_once(spark):
     got = dict(df.select("k", restore.restored(*(F.col(c) for c in ("reference", "flags", "letters", "moves", "offsets")))).collect())
     assert got == {k: plain(*r) if r[1] is not None else None for k, *r in rows}
     assert "ArrowEvalPython" in df.select(restore.restored(*(F.col(c) for c in ("reference", "flags", "letters", "moves", "offsets"))))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_texts_are_not_taken_apart(spark):
+    from spotweave.operators import compare
+
+    rows = spark.createDataFrame([("ACGT", "ACGT"), ("ACGT", "ACG"), ("ACGT", "NCGA"), (None, "A")], "bases string, bases_b string")
+    assert sorted(map(tuple, compare.confusion(rows).collect())) == [("A", "N", 1), ("T", "A", 1)]
+    assert [r.n for r in compare.position_histogram(rows, 4).orderBy("bucket").collect()] == [1, 0, 0, 1]
+    # no filter on the texts, below which they would be made a second time
+    for out in (compare.confusion(rows), compare.position_histogram(rows, 4)):
+        assert "length(" not in "".join(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x)
