@@ -44,11 +44,15 @@ def range_problems(blobs: DataFrame, expected_rows: int | None = None, by: list[
 
 
 def merged_ranges(ranges: DataFrame, gap: int = 1 << 20, by: list[str] | None = None) -> DataFrame:
-    """Byte ranges (start, end) coalesced where at most `gap` apart: islands of a running maximum, in each `by` group."""
+    """Byte ranges (start, end) coalesced where at most `gap` apart: islands of a running maximum, in each `by` group.
+
+    Repeated ranges count once: they lie together in the window's order, so that no table of all ranges is held."""
     keys = by or []
     w = Window.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = ranges.withColumn("_new", F.when(before.isNull() | (F.col("start") > before + gap), 1).otherwise(0))
+    own = F.struct("start", "end")
+    rows = ranges.withColumn("_again", F.lag(own).over(w).eqNullSafe(own)).where(~F.col("_again")).drop("_again")
+    rows = rows.withColumn("_new", F.when(before.isNull() | (F.col("start") > before + gap), 1).otherwise(0))
     rows = rows.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 

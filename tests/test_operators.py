@@ -133,3 +133,16 @@ def test_equal_texts_are_not_taken_apart(spark):
     # no filter on the texts, below which they would be made a second time
     for out in (compare.confusion(rows), compare.position_histogram(rows, 4)):
         assert "length(" not in "".join(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x)
+
+
+def test_repeated_ranges_count_once(spark):
+    rows = [(0, 5), (0, 5), (3, 9), (100, 50), (100, 50), (None, None), (None, None)]
+    ranges = spark.createDataFrame(rows, "start bigint, end bigint")
+    got = intervals.merged_ranges(ranges, 20)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, intervals.merged_ranges(ranges.distinct(), 20).collect()), key=str)
+    from spotweave.plans.queries import QUERIES
+    from tests.conftest import SF
+
+    # ranges are not gathered in a hash table before they are sorted
+    plan = QUERIES["coalesced_ranges"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
