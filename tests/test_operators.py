@@ -146,3 +146,10 @@ def test_repeated_ranges_count_once(spark):
     # ranges are not gathered in a hash table before they are sorted
     plan = QUERIES["coalesced_ranges"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+def test_merged_masks_of_other_lengths(spark):
+    rows = [("ACGTN", [8, 0]), ("ÄC", [0, 0, 7]), ("", []), (None, [1]), ("A", None)]
+    got = spark.createDataFrame(rows, "b string, m array<int>").coalesce(1).select(sq.merge_ambiguity(F.col("b"), F.col("m")).alias("x"))
+    assert [r.x for r in got.collect()] == ["WCGTN", "NC", "", None, None]
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
