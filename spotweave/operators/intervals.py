@@ -51,6 +51,9 @@ def merged_ranges(ranges: DataFrame, gap: int = 1 << 20, by: list[str] | None =
     w = Window.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     own = F.struct("start", "end")
+    if keys:
+        # a number told keeps adaptive execution from joining partitions, which a task would sort and gather at once
+        ranges = ranges.repartition(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     rows = ranges.withColumn("_again", F.lag(own).over(w).eqNullSafe(own)).where(~F.col("_again")).drop("_again")
     rows = rows.withColumn("_new", F.when(before.isNull() | (F.col("start") > before + gap), 1).otherwise(0))
     rows = rows.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
